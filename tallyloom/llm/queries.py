@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quality_model, quality_rules, simhash, toxicity
+from tallyloom.llm import line_dedup, quality_model, quality_rules, simhash, toxicity
 from tallyloom.llm.common import checked_broadcast, table
 
 
@@ -30,6 +30,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+occ AS (
+  SELECT doc_id, i - 1 AS line_no, doc_id::HUGEINT * 2147483648 + i - 1 AS place, trim(p[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  FROM parts, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)
+),
+named AS (SELECT * FROM occ WHERE line <> ''),
+firsts AS (SELECT line, min(place) AS first FROM named GROUP BY line),
+split AS (SELECT line, first, string_split_regex(line, '[\x20\x09-\x0D]+') AS w FROM firsts),
+long AS (SELECT * FROM split WHERE len(w) >= 5),
+variants AS (
+  SELECT line, first, i AS place, len(w) - 1 AS n, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM long, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)
+  UNION ALL SELECT line, first, 0, len(w), array_to_string(w, ' ') FROM long
+),
+replaced AS (SELECT v, n, place, min(first) AS least FROM variants GROUP BY v, n, place),
+sides AS (SELECT v, n, min(CASE WHEN place = 0 THEN least END) AS short, min(CASE WHEN place > 0 THEN least END) AS long FROM replaced WHERE n >= 5 GROUP BY v, n),
+near AS (
+  SELECT x.line FROM variants x JOIN replaced r ON x.v = r.v AND x.n = r.n AND x.place = r.place WHERE x.first > r.least
+  UNION
+  SELECT x.line FROM variants x JOIN sides s ON x.v = s.v AND x.n = s.n WHERE x.first > CASE WHEN x.place = 0 THEN s.long ELSE s.short END
+),
+gone AS (
+  SELECT DISTINCT n.doc_id, n.line_no FROM named n JOIN firsts f ON n.line = f.line WHERE n.place <> f.first OR n.line IN (SELECT line FROM near)
+),
+flagged AS (
+  SELECT o.doc_id, o.line_no, p.p[o.line_no + 1] AS line, g.line_no IS NOT NULL AS out
+  FROM occ o JOIN parts p ON o.doc_id = p.doc_id LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.line_no = o.line_no
+),
+kept AS (
+  SELECT doc_id, count(*) FILTER (out) AS n_dropped, coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (out), '') AS dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT out), '') AS text
+  FROM flagged GROUP BY doc_id
+)
+SELECT doc_id, n_dropped, dropped, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = quality_model.held_out(F.col("doc_id"))
@@ -44,8 +86,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
