@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, quality_model, quality_rules, simhash, toxicity
+from tallyloom.llm import decontaminate, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
 from tallyloom.llm.common import checked_broadcast, table
 
 
@@ -28,6 +28,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), "overlap", "matches")
 
 
+def piece_model() -> str:
+    """Vocabulary file of the production runs; an installed package carries it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_model())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.transform("paths", lambda p: p["score"]).alias("scores"), "round_trip")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out(F.col("doc_id"))
@@ -91,6 +103,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_model": op8_quality_model,
