@@ -34,6 +34,8 @@ from pyspark.sql.window import Window
 from tallyloom.llm.common import BLANK_RUN, BLANKS, checked_broadcast, let, materialize
 
 MIN_NEAR_WORDS = 5
+#: Dropped line numbers and their documents are broadcast up to this count of numbers, else joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 _MODULUS = (1 << 31) - 1
 _NO_ID = -(1 << 63)
 
@@ -79,35 +81,34 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def possible_partners(lines: DataFrame) -> DataFrame:
-    """Keys (a, b, first) of the lines of which some half name occurs in another line."""
+    """(a, b, first) of the lines of which some half name occurs in another line."""
     named = lines.where(F.col("n") >= MIN_NEAR_WORDS).select("a", "b", "first", F.explode(F.array_distinct(F.array_compact(F.array("h0", "h1", "h2", "h3")))).alias("half"))
-    shared = named.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    return named.join(shared, "half").select("a", "b", "first").distinct()
+    shared = materialize(named.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "line-halves")
+    return named.join(checked_broadcast(shared), "half").select("a", "b", "first").distinct()
 
 
 def _variants(chosen: DataFrame) -> DataFrame:
-    """(a, b, first, place, x, y): the line itself (place -1) and it without the word at `place`.
+    """(rank, position, variant): each line (position -1), and it without the word at `position`.
 
-    x and y are linear hashes: the sum of word hash times a coefficient of its position, modulo
-    2**31 - 1, twice with other coefficients.
+    A variant is named by a linear hash: the sum of word hash times a coefficient of its position,
+    modulo 2**31 - 1, twice with other coefficients.
     """
-    word = chosen.select("a", "b", "first", F.posexplode("w").alias("i", "word"))
     m = F.lit(_MODULUS).cast("long")
+    word = chosen.select("rank", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     columns = []
     for name in ("x", "y"):
         h = F.pmod(F.xxhash64(F.lit(name), "word"), m)
         at = lambda i, name=name: F.pmod(F.xxhash64(F.lit(name + "i"), i), m)
         columns += [(h * at(F.col("i")) % m).alias(f"{name}0"), (h * at(F.col("i") - 1) % m).alias(f"{name}1")]
-    word = word.select("a", "b", "first", "i", *columns)
-    line = Window.partitionBy("a", "b").orderBy("i")
-    running = word.select("a", "b", "first", "i", *[F.sum(c).over(line).alias(f"s{c}") for c in ("x0", "x1", "y0", "y1")], *["x0", "x1", "y0", "y1"])
-    totals = word.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("first").alias("first"), *[F.sum(c).alias(f"t{c}") for c in ("x0", "x1", "y0", "y1")])
+    word = word.select("rank", "n", "i", *columns)
+    before, every = Window.partitionBy("rank").orderBy("i"), Window.partitionBy("rank")
     # without word i: the words before it keep their coefficients, those after it move one to the left
-    without = running.join(totals.drop("first"), ["a", "b"]).select(
-        "a", "b", "first", F.col("i").alias("place"), (F.col("n") - 1).alias("n"), *[((F.col(f"s{c}0") - F.col(f"{c}0") + F.col(f"t{c}1") - F.col(f"s{c}1")) % m).alias(c) for c in ("x", "y")]
-    )
-    own = totals.select("a", "b", "first", F.lit(-1).alias("place"), "n", *[(F.col(f"t{c}0") % m).alias(c) for c in ("x", "y")])
-    return own.unionByName(without)
+    sums = word.select("rank", "n", "i", *[F.sum(f"{c}{k}").over(before).alias(f"{c}b{k}") for c in ("x", "y") for k in (0, 1)], *[F.sum(f"{c}1").over(every).alias(f"{c}t") for c in ("x", "y")], "x0", "y0")
+    name = lambda x, y: (x % m) * F.lit(1 << 31).cast("long") + y % m
+    parts = [F.col(f"{c}b0") - F.col(f"{c}0") + F.col(f"{c}t") - F.col(f"{c}b1") for c in ("x", "y")]
+    without = F.struct(F.col("i").alias("position"), name(*parts).alias("variant"))
+    own = F.when(F.col("i") == F.col("n") - 1, F.struct(F.lit(-1).alias("position"), name(F.col("xb0"), F.col("yb0")).alias("variant")))
+    return sums.select("rank", F.inline(F.array_compact(F.array(without, own))))
 
 
 def _near(one: Column, other: Column) -> Column:
@@ -128,21 +129,22 @@ def near_copies(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Keys (a, b) of the distinct lines that have an earlier near copy."""
     wanted = checked_broadcast(materialize(possible_partners(lines), "line-candidates").withColumnRenamed("first", "place"))
     texts = lines_of(docs).join(wanted, ["a", "b", "place"]).dropDuplicates(["a", "b"])
-    chosen = materialize(texts.select("a", "b", F.col("place").alias("first"), F.split("line", BLANK_RUN).alias("w")), "line-words")
+    ranked = texts.orderBy("place").select("a", "b", F.monotonically_increasing_id().alias("rank"), F.split("line", BLANK_RUN).alias("w"))
+    chosen = materialize(ranked, "line-words")  # written once, so ranks stay; they rise with the place
     variants = materialize(_variants(chosen), "line-variants")
-    # replacement (or the same words): the earliest line with the same variant at the same place
-    by_place = variants.groupBy("x", "y", "n", "place").agg(F.min("first").alias("least"), F.count("*").alias("c"))
-    shared = by_place.where("c > 1").select("x", "y", "n", "place", "least")
-    replaced = variants.join(shared, ["x", "y", "n", "place"]).where("first > least").select("a", "b", "first", "least")
+    # replacement (or the same words): the earliest line with the same variant at the same position
+    same = variants.groupBy("variant", "position").agg(F.min("rank").alias("least"), F.count("*").alias("c"))
+    shared = materialize(same.where("c > 1").select("variant", "position", "least"), "line-replaced")
+    replaced = variants.join(checked_broadcast(shared), ["variant", "position"]).where("rank > least").select("rank", "least")
     # insertion: the variant of one line is another line
-    least = lambda own: F.min(F.when((F.col("place") < 0) == own, F.col("least")))
-    sides = by_place.where(F.col("n") >= MIN_NEAR_WORDS).groupBy("x", "y", "n").agg(least(True).alias("short"), least(False).alias("long")).where("short IS NOT NULL AND long IS NOT NULL")
-    partner = F.when(F.col("place") < 0, F.col("long")).otherwise(F.col("short"))
-    inserted = variants.join(sides, ["x", "y", "n"]).select("a", "b", "first", partner.alias("least")).where("first > least")
+    least = lambda own: F.min(F.when((F.col("position") < 0) == own, F.col("rank")))
+    sides = materialize(variants.groupBy("variant").agg(least(True).alias("short"), least(False).alias("long")).where("short IS NOT NULL AND long IS NOT NULL"), "line-inserted")
+    partner = F.when(F.col("position") < 0, F.col("long")).otherwise(F.col("short"))
+    inserted = variants.join(checked_broadcast(sides), "variant").select("rank", partner.alias("least")).where("rank > least")
     pairs = replaced.unionByName(inserted).distinct()
-    left = chosen.select("a", "b", F.col("w").alias("wa"))
-    right = chosen.select(F.col("first").alias("least"), F.col("w").alias("wb"))
-    return pairs.join(left, ["a", "b"]).join(right, "least").where(_near(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
+    left = chosen.select("rank", "a", "b", F.col("w").alias("wa"))
+    right = chosen.select(F.col("rank").alias("least"), F.col("w").alias("wb"))
+    return pairs.join(left, "rank").join(right, "least").where(_near(F.col("wa"), F.col("wb"))).select("a", "b").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -167,7 +169,9 @@ def _without(lines: Column, dropped: Column) -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with `text` rebuilt from the lines that stay, and `dropped_lines`, the line numbers that went."""
-    gone = dropped_lines(docs).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped"))
+    gone = materialize(dropped_lines(docs).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "dropped-lines")
+    if (gone.agg(F.sum(F.size("_dropped") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, _id(F.col("doc_id")) == F.col("_doc"), "left")
     kept = let(F.split("text", "\n"), lambda x: F.array_join(_without(x, F.col("_dropped")), "\n"))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias("text")
