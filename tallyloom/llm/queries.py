@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
+from tallyloom.llm import chat, decontaminate, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
 from tallyloom.llm.common import checked_broadcast, table
 
 
@@ -89,6 +89,40 @@ SELECT doc_id, n_dropped, dropped, length(text) AS kept_chars, sha256(text) AS k
 """
 
 
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    done = chat.conversations(chat.from_turns(turns.unionByName(extra)))
+    read = done.select("tree", "formatted", chat.turns_of(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("mask")).alias("learned"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = """
+WITH all_turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, length(role) + length(replace(replace(text, chr(92), '..'), '<', '..')) + 9 AS chars FROM all_turns
+), c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS learned, sum(chars) AS formatted_chars
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c
+"""
+
+
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = quality_model.held_out(F.col("doc_id"))
@@ -106,8 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_chat": op7_chat,
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL}
