@@ -1,7 +1,7 @@
 """Quality rules: base counts of every text and a hashed n-gram log-likelihood ratio.
 
 The ratio compares a trusted-target multinomial with the raw-corpus multinomial over hashed
-token unigrams and bigrams. Counts come from all documents; the score of a document is the mean
+token unigrams and bigrams, both smoothed alike. Counts come from all documents; the score of a document is the mean
 ratio per n-gram (length-normalised) and a fixed threshold decides each document alone.
 Main path: built-in expressions only. Scoring needs no shuffle; fitting shuffles one row for
 each bucket and task.
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import NOT_BLANK, let, materialize, words
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+#: Pseudo-count of a bucket in the target; the raw multinomial gets the same share of its larger total,
+#: so that an n-gram too rare to tell has a ratio near 0 at any corpus size.
+SMOOTHING = 5.0
 #: Mean log-likelihood ratio per n-gram under which a text is rejected.
-THRESHOLD = -0.1
+THRESHOLD = -0.2
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
@@ -54,7 +56,8 @@ def fit_ratios(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smoothi
     filled = every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     # one row of fixed size: `buckets` pairs, whatever the corpus
     one = filled.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
-    ratio = lambda x: F.log((x["target"] + smoothing) / (F.col("all_target") + smoothing * buckets)) - F.log((x["raw"] + smoothing) / (F.col("all_raw") + smoothing * buckets))
+    scaled = F.col("all_target") / F.col("all_raw")
+    ratio = lambda x: F.log((x["target"] + smoothing) / (x["raw"] * scaled + smoothing))  # noqa: E731  the totals are equal
     return materialize(one.select(F.when(F.col("all_target") > 0, F.transform("c", ratio)).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("ratios")), "ngram-ratios")
 
 
