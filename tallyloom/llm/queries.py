@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
-from tallyloom.llm.common import checked_broadcast, table
+from tallyloom.llm import chat, decontaminate, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
+from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
 
 
 def with_trust(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,61 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.transform("paths", lambda p: p["score"]).alias("scores"), "round_trip")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/lang/thousand/name, where a short text about a licence is named a licence file."""
+    short = (F.size(F.split("text", BLANK_RUN)) <= 40) & F.col("text").ilike("%licen%")
+    name = F.concat(F.when(short, "LICENSE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("xx")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files).select("doc_id", "path", "own_license", "cosine", "license", "origin")
+
+
+def _op3_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH templates(template, license, text) AS (VALUES {values}),
+files AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'xx'), (doc_id // 1000)::VARCHAR,
+    CASE WHEN len(string_split_regex(text, '[\x20\x09-\x0D]+')) <= 40 AND text ILIKE '%licen%' THEN 'LICENSE-' ELSE '' END || doc_id || '.txt') AS path
+  FROM documents
+),
+tw AS (
+  SELECT template, license, word, 1 + ln(count(*)) AS tf FROM (SELECT template, license, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM templates)
+  WHERE word <> '' GROUP BY ALL
+),
+total AS (SELECT count(*) AS n FROM documents),
+df AS (
+  SELECT word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS word FROM documents)
+  WHERE word IN (SELECT word FROM tw) GROUP BY word
+),
+idf AS (SELECT w.word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) w LEFT JOIN df USING (word), total),
+tv AS (SELECT template, license, word, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS x FROM tw JOIN idf USING (word)),
+units AS (
+  SELECT path, -1 AS kind, 0 AS u, text AS unit FROM files
+  UNION ALL SELECT path, 0, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split(text, chr(10)) AS p FROM files)
+  UNION ALL SELECT path, 1, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split_regex(text, '\n{{2,}}') AS p FROM files)
+),
+terms AS (SELECT path, kind, u, word, count(*) AS n FROM (SELECT path, kind, u, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS word FROM units) WHERE word <> '' GROUP BY ALL),
+weighed AS (SELECT path, kind, u, terms.word, (1 + ln(terms.n)) * coalesce(idf, ln(total.n + 1) + 1) AS y FROM terms LEFT JOIN idf USING (word), total),
+norms AS (SELECT path, kind, u, sqrt(sum(y * y)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT path, kind, u, template, license, sum(x * y) AS dot FROM weighed JOIN tv USING (word) GROUP BY ALL),
+scored AS (SELECT path, license, max(round(dot / norm, 6)) AS cosine FROM dots JOIN norms USING (path, kind, u) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD} GROUP BY ALL),
+own AS (SELECT path, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+granted AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS folder, license FROM own WHERE regexp_matches(path, '(?i)/(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$')
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1
+)
+SELECT f.doc_id, f.path, o.license AS own_license, o.cosine, coalesce(o.license, g.license) AS license,
+  CASE WHEN o.license IS NOT NULL THEN 'own' WHEN g.license IS NOT NULL THEN 'directory' ELSE 'none' END AS origin
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN granted g ON g.folder = regexp_replace(f.path, '/[^/]*$', '')
+"""
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out(F.col("doc_id"))
@@ -138,6 +193,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_licenses": op3_licenses,
+    "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
@@ -145,4 +202,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL}
