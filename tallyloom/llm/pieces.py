@@ -87,7 +87,9 @@ class Pieces:
                 node = node[0].setdefault(c, [{}, None, 0.0])
             node[1:] = [(i,), self.scores[i]]
         self._parts = _part_pattern(self.inner)
-        self._cache: dict[str, Best] = {}
+        self._cache: dict[str, Best] = {}  # and the generation before it
+        self._old: dict[str, Best] = {}
+        self._paths: dict[str, list[Path]] = {}
 
     def _bytes_of(self, char: str) -> tuple[int, ...]:
         return tuple(self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -191,7 +193,7 @@ class Pieces:
 
     def part(self, part: str) -> Best:
         """The best segmentation of a part between word starts, cached."""
-        got = self._cache.get(part)
+        got = self._cache.get(part) or self._old.get(part)
         if got is None:
             cut = self._cut(part)
             if len(cut) == 1:
@@ -199,14 +201,24 @@ class Pieces:
             else:
                 each = [self.part(p) for p in cut]
                 got = (sum(e[0] for e in each), b"".join([e[1] for e in each]), min(e[2] for e in each))
+        if len(part) <= 64:
             if len(self._cache) >= CACHE_PARTS:
-                self._cache.clear()
-            if len(part) <= 64:
-                self._cache[part] = got
+                self._cache, self._old = {}, self._cache
+            self._cache[part] = got
         return got
 
     def paths(self, part: str) -> list[Path]:
-        """The n_best segmentations of a part between word starts."""
+        """The n_best segmentations of a part between word starts, cached."""
+        got = self._paths.get(part)
+        if got is None:
+            got = self._search_cut(part)
+            if len(self._paths) >= CACHE_PARTS // 10:
+                self._paths.clear()
+            if len(part) <= 64:
+                self._paths[part] = got
+        return got
+
+    def _search_cut(self, part: str) -> list[Path]:
         cut = self._cut(part)
         if len(cut) == 1:
             return self.search(part)
@@ -233,13 +245,18 @@ class Pieces:
         """
         if not text:
             return b"", [(0.0, [])]
-        names: list[str] = []
+        if MARK not in text:
+            names = self._parts.findall(MARK + text.replace(" ", MARK))
+            get, part = self._cache.get, self.part
+            return self._encode(names, [get(u) or part(u) for u in names])
+        names = []
         for k, literal in enumerate(text.split(MARK)):
             marked = literal.replace(" ", MARK)
             names += [_LITERAL] if k else []
             names += self._parts.findall(marked if k else MARK + marked)
-        get, part = self._cache.get, self.part
-        units = [get(u) or part(u) for u in names] if _LITERAL not in names else [part(u) if u is not _LITERAL else self._literal() for u in names]
+        return self._encode(names, [self._literal() if u is _LITERAL else self.part(u) for u in names])
+
+    def _encode(self, names: list[str], units: list[Best]) -> tuple[bytes, list[tuple[float, list[tuple[int, int, bytes]]]]]:
         best = b"".join([u[1] for u in units])
         ranked = self.merged(units, names.__getitem__)
         places = {k for _, chosen in ranked for k in chosen}
@@ -251,8 +268,10 @@ class Pieces:
         return self.fallback, array("i", self._bytes_of(MARK)).tobytes(), np.inf
 
     def decode(self, ids: bytes) -> str:
-        table = self.table
-        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<i4").tolist() if 0 <= i < len(table)]).decode("utf-8", "surrogatepass")[1:]
+        numbers = np.frombuffer(ids, dtype="<i4")
+        if len(numbers) and (numbers.min() < 0 or numbers.max() >= len(self.table)):
+            numbers = numbers[(numbers >= 0) & (numbers < len(self.table))]
+        return b"".join(map(self.table.__getitem__, numbers.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 @functools.lru_cache(maxsize=1)
