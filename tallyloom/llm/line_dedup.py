@@ -71,13 +71,13 @@ def _halves(hashes: Column) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(a, b, first, n, h0..h3): every distinct line, its first place, its words and its half names."""
+    """(a, b, first, c, n, h0..h3): every distinct line, its first place, its copies, its words and its half names."""
     split = lines_of(docs).select("place", "a", "b", F.split("line", BLANK_RUN).alias("w"))
     halves = F.when(F.size("w") >= MIN_NEAR_WORDS, let(F.transform("w", lambda x: F.xxhash64(x)), _halves))
     named = split.select("place", "a", "b", F.size("w").alias("n"), halves.alias("h"))
     flat = named.select("place", "a", "b", "n", *[F.get("h", i).alias(f"h{i}") for i in range(4)])
     # words and halves follow from the line; any of the equal values serves
-    return flat.groupBy("a", "b").agg(F.min("place").alias("first"), F.max("n").alias("n"), *[F.max(f"h{i}").alias(f"h{i}") for i in range(4)])
+    return flat.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("c"), F.max("n").alias("n"), *[F.max(f"h{i}").alias(f"h{i}") for i in range(4)])
 
 
 def possible_partners(lines: DataFrame) -> DataFrame:
@@ -151,8 +151,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc, dropped): the sorted line numbers that go, for each document that loses lines."""
     lines = materialize(distinct_lines(docs), "lines")
     near = near_copies(docs, lines).withColumn("near", F.lit(True))
-    fate = lines.select("a", "b", "first").join(near, ["a", "b"], "left")
-    gone = lines_of(docs).select("doc", "place", "line_no", "a", "b").join(fate, ["a", "b"]).where("near OR place <> first")
+    # a line that occurs once and has no earlier near copy stays; only the others are looked up
+    fate = materialize(lines.select("a", "b", "first", "c").join(near, ["a", "b"], "left").where("near OR c > 1").drop("c"), "line-fate")
+    gone = lines_of(docs).select("doc", "place", "line_no", "a", "b").join(checked_broadcast(fate), ["a", "b"]).where("near OR place <> first")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
