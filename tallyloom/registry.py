@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tallyloom.plans import learning
 
-def _modules() -> list:
-    return []
+MODULES = (learning,)
 
 
 def queries() -> dict[str, Callable]:
-    return {name: fn for m in _modules() for name, fn in m.QUERIES.items()}
+    return {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
