@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyloom.plans import learning
+from tallyloom.plans import content, learning
 
-MODULES = (learning,)
+MODULES = (learning, content)
 
 
 def queries() -> dict[str, Callable]:
