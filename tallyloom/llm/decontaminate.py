@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, materialize
+from tallyloom.llm.common import checked_broadcast, materialize, small_batches
 from tallyloom.llm.features import Prefixes, chunks, mix, runs
 
 #: Spaced seeds, 1: kept, 0: ignored. Fixed values.
@@ -93,13 +93,13 @@ def is_leak(length: int, matches: int, item_words: int) -> bool:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         words = [tokens(t.as_py()).view(np.int64) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.list_(pa.int64()))], ["item_id", "item_words"])
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         ids, hashes, places = [], [], []
         for item, words in zip(batch.column("item_id").to_pylist(), batch.column("item_words"), strict=True):
             words = words.values.to_numpy().view(np.uint64)
@@ -132,7 +132,7 @@ def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame
         table = shared.value
         passes = lambda s: (table[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
         task, serial = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 words = tokens(text.as_py())
@@ -163,7 +163,7 @@ def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         out: list[list] = [[], [], [], []]
         for doc, item, shift, words, item_words in zip(*(batch.column(c) for c in ("doc_id", "item_id", "shift", "words", "item_words")), strict=True):
             w, x, shift = words.values.to_numpy(), item_words.values.to_numpy(), shift.as_py()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, materialize
+from tallyloom.llm.common import checked_broadcast, materialize, small_batches
 
 BITS = 15
 EVIDENCE = 60.0
@@ -58,7 +58,7 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in small_batches(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             found = trigrams(text.as_py())
             totals[lang] = totals[lang] + found if lang in totals else found
@@ -102,7 +102,7 @@ def evidence(pages: DataFrame, logs: np.ndarray) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(logs)  # of fixed size by language
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [text_evidence(h.as_py(), shared.value) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "declared")), pa.array(found, pa.list_(pa.float64()))], ["page_id", "url", "declared", "text"])
 

@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.llm.common import small_batches
+
 MARK = "▁"
 N_BEST = 4
 #: A character without a piece costs this much more than the worst piece.
 FALLBACK_COST = 10.0
-CACHE_PARTS = 300_000
+CACHE_PARTS = 200_000
 _LITERAL = "<mark>"
 _LETTER = "[^\\W\\d_]"
 
@@ -301,7 +303,7 @@ def encode(docs: DataFrame, model_path: str, n_best: int = N_BEST, keep: tuple[s
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shared.value, n_best)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             got = [pieces.encode(t) for t in texts]
             paths = [[{"score": s, "edits": [{"at": a, "replaced": n, "ids": np.frombuffer(x, dtype="<i4")} for a, n, x in edits]} for s, edits in p] for _, p in got]
@@ -319,7 +321,7 @@ def decode(encodings: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shared.value, N_BEST)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [pieces.decode(np.array(x or [], dtype="<i4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, "text"])
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import small_batches
 from tallyloom.llm.features import Prefixes, chunks, in_remainder, labelled_sample, mix, runs
 
 BITS = 18
@@ -68,7 +69,7 @@ class Model:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals = np.zeros((2, 1 << BITS), dtype=np.int64)
-    for batch in batches:
+    for batch in small_batches(batches):
         for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
             totals[int(y > 0), indicators(text.as_py())] += 1
     used = np.flatnonzero(totals.sum(axis=0))
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     ratios = log_count_ratios(labelled_sample(docs, labels, label, usable, count_rows))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [indicators(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([x[ratios[x] != 0].astype(np.int32) for x in found], pa.list_(pa.int32())), batch.column("y")], ["at", "y"])
 
@@ -143,7 +144,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             values = [model.score(indicators(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(values, pa.float64())], [*keep, "score"])
 

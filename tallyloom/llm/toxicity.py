@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import small_batches
 from tallyloom.llm.features import Prefixes, chunks, in_remainder, labelled_sample, runs
 
 SPACE = 30
@@ -78,7 +79,7 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, 2048):
         parts = [(np.unique(terms(t)), y) for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True)]
         of = lambda want: np.concatenate([np.empty(0, np.uint32), *[t for t, y in parts if (y > 0) == want]])
         keys, inverse = np.unique(np.concatenate((of(True), of(False))), return_inverse=True)
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shell)
         table = model.table()
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [model.indices(t, table).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("y")], ["at", "y"])
 
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         table = model.table()
-        for batch in batches:
+        for batch in small_batches(batches):
             values = [model.score(model.indices(t.as_py(), table)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), pa.array(values, pa.float64())], [*keep, "score"])
 
