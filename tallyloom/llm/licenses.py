@@ -8,7 +8,10 @@ takes that of the nearest ancestor directory that has one.
 
 Only files with an anchor word are split into units: a template's anchors are its heaviest words, so
 many that the rest of its vector is shorter than the threshold; a unit without any of them cannot
-reach it (Cauchy-Schwarz), so nothing is lost. Templates are a fixed set and their vectors are broadcast.
+reach it (Cauchy-Schwarz), so nothing is lost. Nor can a unit whose part in template words is too short
+beside its other words: no cosine exceeds the share of that part in the length of the unit. Only the
+units that pass both bounds are taken apart into terms. Templates are a fixed set and their vectors
+are broadcast.
 
 Main path: built-in expressions, grouped aggregates and equi-joins. Directories, not files, walk up
 their ancestors.
@@ -28,7 +31,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import checked_broadcast, materialize
+from tallyloom.llm.common import checked_broadcast, let, materialize
 
 THRESHOLD = 0.6
 LICENCE_FILE = "(?i)^(un)?(licen[sc]e|copying|notice)([.-].*)?$"
@@ -103,6 +106,20 @@ def anchors(vectors: list[dict[str, float]], threshold: float = THRESHOLD) -> li
     return sorted(out)
 
 
+def may_reach(unit: Column, idf: dict[str, float], unseen: float, threshold: float) -> Column:
+    """Whether the template words of a unit are heavy enough for a cosine of `threshold`; never wrongly false."""
+    weight = F.create_map(*[x for w, v in sorted(idf.items()) for x in (F.lit(w), F.lit(v))])
+
+    def bound(known: Column, n_words: Column) -> Column:
+        kinds = F.array_distinct(known)
+        square = lambda w: F.pow((1 + F.log(F.size(F.filter(known, lambda x: x == w)))) * weight[w], 2)
+        inside = F.aggregate(F.transform(kinds, square), F.lit(0.0), lambda a, x: a + x)
+        outside = (n_words - F.size(kinds)) * (unseen * unseen)  # any other word weighs this much at least
+        return let(inside, lambda a: (a > 0) & (a >= (threshold - 1e-5) ** 2 * (a + outside)))
+
+    return let(words(unit), lambda w: let(F.filter(w, lambda x: x.isin(*VOCABULARY)), lambda known: bound(known, F.size(F.array_distinct(F.array_remove(w, ""))))))
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, cosine) of every path that carries a notice."""
     spark = files.sparkSession
@@ -115,7 +132,7 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = files.where(F.lower("text").rlike(pattern)).where(some).select("path", "text").distinct()
     whole = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("at"), F.col("text").alias("unit")))
     split = lambda sign, kind: F.transform(F.split("text", sign), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.alias("unit")))
-    units = texts.select("path", F.xxhash64("text").alias("of"), F.inline(F.concat(whole, split("\n", 0), split("\n{2,}", 1))))
+    units = texts.select("path", F.xxhash64("text").alias("of"), F.inline(F.concat(whole, split("\n", 0), split("\n{2,}", 1)))).where(F.lower("unit").rlike(pattern)).where(may_reach(F.col("unit"), idf, unseen, threshold))
     unit = ["path", "of", "kind", "at"]
     terms = units.select(*unit, F.explode(words(F.col("unit"))).alias("word")).where("word <> ''").groupBy(*unit, "word").agg(F.count("*").alias("n"))
     weighed = materialize(terms.join(known, "word", "left").select(*unit, "word", ((1 + F.log("n")) * F.coalesce("idf", F.lit(unseen))).alias("y")), "license-terms")
