@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words and the first 4 and 5 bytes of longer words, hashed to
-`1 << SPACE` values. Grouped counts over the labelled sample select the `terms` hashes most
-associated with the label (chi-square); a factorization machine with linear weights and `rank`
+`1 << SPACE` values. Grouped counts over the labelled sample select the hashes most associated with
+the label (log-likelihood ratio G of at least `LEAST_G`, at most `TERMS`); a factorization machine with linear weights and `rank`
 factors for each term learns from them, so pairs of terms count beyond their single weights.
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the terms present in the whole text.
 
@@ -33,6 +33,8 @@ SPACE = 30
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 30_000
 TERMS = 4096
+#: A term's G exceeds this by chance about once in 5,000 terms, so few chance terms enter the model.
+LEAST_G = 14.0
 RANK = 8
 _WORD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FILTER = 24  # bits of the table that finds candidate terms fast
@@ -89,13 +91,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def select_terms(sample: DataFrame, positive: int, negative: int, n: int = TERMS) -> np.ndarray:
-    """The `n` term hashes with the greatest chi-square over the sample, sorted."""
+    """The term hashes with the greatest G over the sample, `n` at most, sorted."""
     counts = sample.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
     total = float(positive + negative)
     df = F.col("pos") + F.col("neg")
-    gap = F.col("pos") * total - df * float(positive)
-    chi = gap * gap / (df * (F.lit(total) - df + 1))
-    return np.sort(np.array([r.h for r in counts.orderBy(chi.desc(), "h").limit(n).select("h").collect()], dtype=np.uint32))
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    cells = [part(F.col(c), df * (k / total)) + part(F.lit(float(k)) - F.col(c), (total - df) * (k / total)) for c, k in (("pos", positive), ("neg", negative))]
+    chosen = counts.withColumn("g", 2 * (cells[0] + cells[1])).where(F.col("g") >= LEAST_G)
+    return np.sort(np.array([r.h for r in chosen.orderBy(F.desc("g"), "h").limit(n).select("h").collect()], dtype=np.uint32))
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model:
