@@ -197,7 +197,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` with `items` (null if clean), `overlap` and `matches` (0 if clean)."""
-    found = materialize(contaminated(docs, benchmark), "leaks").select(F.col("doc_id").alias("_doc"), "items", "overlap", "matches")
-    joined = docs.join(checked_broadcast(found), docs["doc_id"].eqNullSafe(F.col("_doc")), "left")
-    return joined.select(*[docs[c] for c in docs.columns], "items", F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("matches", F.lit(0)).alias("matches"))
+    """`docs` with `items` (null if clean), `overlap` and `matches` (0 if clean); columns of these names are replaced."""
+    found = checked_broadcast(materialize(contaminated(docs, benchmark), "leaks"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left")
+    counts = [F.coalesce(found[c], F.lit(0)).alias(c) for c in ("overlap", "matches")]
+    return joined.select(*[docs[c] for c in docs.columns if c not in found.columns or c == "doc_id"], found["items"], *counts)

@@ -146,7 +146,7 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`files` (with `path` and `text`) and own_license, cosine, license, origin.
 
-    origin: `own`, `directory` (inherited) or `none`.
+    origin: `own`, `directory` (inherited) or `none`. Columns of these names are replaced.
     """
     own = materialize(own_licenses(files.select(F.coalesce("path", F.lit("")).alias("path"), "text"), threshold), "own-licenses")
     folder = lambda path: F.regexp_replace(path, "/?[^/]*$", "")
@@ -157,8 +157,9 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(steps))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("above")))
     inherited = folders.select("folder", F.inline(ancestors)).join(granted, "above").groupBy("folder").agg(F.max_by("granted", "depth").alias("granted"))
     inherited = checked_broadcast(materialize(inherited, "folders"))
-    mine = checked_broadcast(own.select(F.col("path").alias("_path"), F.col("license").alias("own_license"), "cosine"))
+    mine = checked_broadcast(own)
     path = F.coalesce(files["path"], F.lit(""))
-    joined = files.join(mine, path == F.col("_path"), "left").join(inherited, folder(path) == F.col("folder"), "left")
-    origin = F.when(F.col("own_license").isNotNull(), "own").when(F.col("granted").isNotNull(), "directory").otherwise("none")
-    return joined.select(*[files[c] for c in files.columns], "own_license", "cosine", F.coalesce("own_license", "granted").alias("license"), origin.alias("origin"))
+    joined = files.join(mine, path == mine["path"], "left").join(inherited, folder(path) == inherited["folder"], "left")
+    origin = F.when(mine["license"].isNotNull(), "own").when(inherited["granted"].isNotNull(), "directory").otherwise("none")
+    made = {"own_license": mine["license"], "cosine": mine["cosine"], "license": F.coalesce(mine["license"], inherited["granted"]), "origin": origin}
+    return joined.select(*[files[c] for c in files.columns if c not in made], *[c.alias(name) for name, c in made.items()])

@@ -169,11 +169,14 @@ def _without(lines: Column, dropped: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """`docs` with `text` rebuilt from the lines that stay, and `dropped_lines`, the line numbers that went."""
-    gone = materialize(dropped_lines(docs).select(F.col("doc").alias("_doc"), F.col("dropped").alias("_dropped")), "dropped-lines")
-    if (gone.agg(F.sum(F.size("_dropped") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
+    """`docs` with `text` rebuilt from the lines that stay, and `dropped_lines`, the line numbers that went.
+
+    A column that has the name `dropped_lines` already is replaced.
+    """
+    gone = materialize(dropped_lines(docs), "dropped-lines")
+    if (gone.agg(F.sum(F.size("dropped") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
         gone = F.broadcast(gone)
-    joined = docs.join(gone, _id(F.col("doc_id")) == F.col("_doc"), "left")
-    kept = let(F.split("text", "\n"), lambda x: F.array_join(_without(x, F.col("_dropped")), "\n"))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else docs[c] for c in docs.columns], F.coalesce("_dropped", F.array().cast("array<int>")).alias("dropped_lines"))
+    joined = docs.join(gone, _id(docs["doc_id"]) == gone["doc"], "left")
+    kept = let(F.split(docs["text"], "\n"), lambda x: F.array_join(_without(x, gone["dropped"]), "\n"))
+    text = F.when(gone["dropped"].isNull(), docs["text"]).otherwise(kept).alias("text")
+    return joined.select(*[text if c == "text" else docs[c] for c in docs.columns if c != "dropped_lines"], F.coalesce(gone["dropped"], F.array().cast("array<int>")).alias("dropped_lines"))

@@ -12,9 +12,9 @@ from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
 
 
 def with_trust(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """`docs` with `trusted`: whether `labels` marks the document as of good quality."""
+    """(doc_id, text, trusted) of `docs`: whether `labels` marks the document as of good quality."""
     good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(checked_broadcast(good), F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id")
+    return docs.select("doc_id", "text").join(checked_broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("trusted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
