@@ -1,0 +1,79 @@
+"""Column functions for labels, categories, entry headers and prompts. Null parts count as empty."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Categories by the start of a question id, and the default.
+PREFIXES = {"hist": "history", "party": "party", "mil": "military"}
+DEFAULT_CATEGORY = "japanese2"
+LEGACY_CATEGORIES = ["word", "grammar"]
+
+
+def _some(x: Column) -> Column:
+    """`x`, or null where it is empty."""
+    return F.nullif(x, F.lit(""))
+
+
+def legacy_category(value: Column) -> Column:
+    """Stored categories of old versions and missing ones become the default."""
+    return F.when(value.isin(LEGACY_CATEGORIES), DEFAULT_CATEGORY).otherwise(F.coalesce(_some(value), F.lit(DEFAULT_CATEGORY)))
+
+
+def category_of_id(question_id: Column) -> Column:
+    out = F.lit(DEFAULT_CATEGORY)
+    for prefix, category in PREFIXES.items():
+        out = F.when(F.coalesce(question_id, F.lit("")).startswith(prefix), category).otherwise(out)
+    return out
+
+
+def stars(level: Column) -> Column:
+    """Mastery 0 to 5 as filled and empty stars."""
+    return F.concat(F.repeat(F.lit("★"), level.cast("int")), F.repeat(F.lit("☆"), (5 - level).cast("int")))
+
+
+def entry_header(line: Column) -> Column:
+    """Parts of `### 12. 漢字（かな） — translation` as a struct; null for other lines."""
+    rest = F.btrim(F.regexp_extract(line, "^###\\s+(\\d+)\\.\\s+(.+)$", 2))
+    head = F.struct(
+        F.regexp_extract(line, "^###\\s+(\\d+)\\.", 1).try_cast("bigint").alias("num"),
+        rest.alias("headword"),
+        F.btrim(F.regexp_extract(rest, "^([^（(]*)", 1)).alias("kanji"),
+        F.btrim(F.regexp_extract(rest, "[（(]([^）)]+)[）)]", 1)).alias("kana"),
+        F.btrim(F.regexp_extract(rest, "—(.*)$", 1)).alias("translation"),
+    )
+    return F.when(line.rlike("^###\\s+\\d+\\.\\s+.+$"), head)
+
+
+def with_article(stem: Column, article: Column) -> Column:
+    return F.concat_ws("\n\n", _some(article), stem)
+
+
+def shares_reading(word: Column, reference: Column) -> Column:
+    """Whether a character of `word` outside kana occurs in `reference`, which names a word at all."""
+    han = F.filter(F.split(word, ""), lambda c: c.rlike("^[一-鿿]$"))
+    named = ~reference.contains("无") & ~reference.contains("無")
+    return F.coalesce(F.exists(han, lambda c: F.contains(reference, c)) & named, F.lit(False))
+
+
+def explanation_prompt(stem: Column, options: Column, answer_key: Column, answer_text: Column, explanation: Column, selected: Column, correct: Column) -> Column:
+    """Request for an explanation of a question; the stored explanation and the learner's choice are optional."""
+    listed = F.array_join(F.transform(options, lambda o: F.concat(o["key"], F.lit(". "), o["text"])), "\n")
+    answer = F.concat_ws(". ", F.coalesce(answer_key, F.lit("")), _some(answer_text))
+    return F.concat_ws(
+        "\n\n",
+        F.lit("请详细解析以下题目："),
+        F.concat(F.lit("【题干】\n"), F.coalesce(stem, F.lit(""))),
+        F.concat(F.lit("【选项】\n"), F.coalesce(listed, F.lit(""))),
+        F.concat(F.lit("【正确答案】"), answer),
+        F.concat(F.lit("【原题库解析】（可能不准确，请甄别后使用）\n"), _some(explanation)),
+        F.concat(F.lit("【用户选择】"), _some(selected), F.lit("\n用户"), F.when(correct, "答对了").otherwise("答错了"), F.lit("，请针对用户的理解情况进行讲解。")),
+    )
+
+
+def note_context(title: Column, section: Column, selected: Column, before: Column, after: Column) -> Column:
+    """What surrounds a selection in a note; without a selection only the title."""
+    chosen = lambda label, x, close="": F.when(selected.isNotNull(), F.concat(F.lit(label), _some(x), F.lit(close)))
+    text = F.when(selected.isNotNull(), F.concat(F.lit("用户选中的文字：「"), selected, F.lit("」")))
+    return F.concat_ws("\n", F.concat(F.lit("笔记标题："), _some(title)), chosen("所在章节：", section), text, chosen("选中文字前面的内容：", before), chosen("选中文字后面的内容：", after))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyloom.plans import content, learning
+from tallyloom.plans import content, labels, learning
 
-MODULES = (learning, content)
+MODULES = (learning, content, labels)
 
 
 def queries() -> dict[str, Callable]:
