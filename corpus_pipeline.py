@@ -20,8 +20,8 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """`docs` without the rows whose doc_id is in `ids`(gone), null-safe."""
-    ids = materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(checked_broadcast(ids), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    ids = checked_broadcast(materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
