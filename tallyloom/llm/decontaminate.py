@@ -3,12 +3,15 @@
 Texts become lower-cased words (ASCII punctuation separates). A spaced seed hashes the words at the
 kept positions of a fixed mask and ignores the others, so a seed still matches where an ignored word
 was replaced. Seeds of benchmark items and of documents meet in an equi-join; around each hit the
-item is laid along the document without gaps, and the best-scoring stretch (match +1, replaced word
--3) is verified: a document is contaminated by an item if the stretch has `MIN_OVERLAP` words or
-more (or the whole of a shorter item) and at least `MIN_SIMILARITY` of them match.
+item is laid along the document without gaps, and the longest stretch of which at least
+`MIN_SIMILARITY` match is verified: a document is contaminated by an item if that stretch has
+`MIN_OVERLAP` words or more (or is the whole of a shorter item).
 
-Items shorter than the masks' span are sought by a full mask of their own length; items under
-`MIN_ITEM` words are not sought.
+The seeds lose nothing: however words are replaced in a stretch of 13 to 25 words, within the
+similarity, some mask meets kept words only (a test tries all ways), and a longer stretch splits into
+such lengths, one of which reaches the similarity. Items under `MIN_OVERLAP` words are sought by masks
+of their own length, cut into blocks, that ignore every choice of as many blocks as words may be
+replaced; items under `MIN_ITEM` words are not sought.
 
 Documents are scanned once, in full. A Bloom filter of the benchmark's seeds (fixed size, broadcast)
 keeps the seeds that may match; only these, with the words around them, are shuffled. Seeds and items
@@ -24,6 +27,7 @@ an empty benchmark leaves all documents clean; other columns are not read. A str
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,12 @@ from tallyloom.llm.common import checked_broadcast, materialize, small_batches
 from tallyloom.llm.features import Prefixes, chunks, mix, runs
 
 #: Spaced seeds, 1: kept, 0: ignored. Fixed values.
-MASKS = ("1110100110101", "1100101011011", "1011011000111")
-SPAN = 13
+MASKS = ("1111001", "11001000011", "101111")
 MIN_ITEM = 5
 MIN_OVERLAP = 13
 MIN_SIMILARITY = 0.8
-MISMATCH = -3
+#: Beside +1 for a match: MIN_SIMILARITY of the words match where the sum is 0 or more.
+MISMATCH = -4
 PAD = 40
 FILTER_BITS = 27
 ITEM_TOKENS_BROADCAST = 4_000_000
@@ -69,9 +73,14 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def item_masks(n_words: int) -> tuple[str, ...]:
-    if n_words >= SPAN:
+    if n_words >= MIN_OVERLAP:
         return MASKS
-    return ("1" * n_words,) if n_words >= MIN_ITEM else ()
+    if n_words < MIN_ITEM:
+        return ()
+    replaced = n_words // 5  # at MIN_SIMILARITY
+    blocks = replaced + 2
+    block = [i * blocks // n_words for i in range(n_words)]
+    return tuple("".join("0" if b in gone else "1" for b in block) for gone in combinations(range(blocks), replaced))
 
 
 def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +89,12 @@ def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """(length, matches) of the stretch of an alignment with the greatest score; the first of equals."""
+    """(length, matches) of the longest stretch of an alignment that reaches `MIN_SIMILARITY`; the first of equals."""
     sums = np.concatenate(([0], np.cumsum(np.where(same, 1, MISMATCH))))
-    least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
-    start = int(np.argmin(sums[: end + 1]))
+    # sums over a stretch are 0 or more exactly if it reaches the similarity; minima only fall
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int(np.argmax(np.arange(len(sums)) - starts))
+    start = int(starts[end])
     return end - start, int(same[start:end].sum())
 
 
@@ -179,8 +189,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, matches): every document and item that overlap, with the longest stretch."""
     items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id long, item_words array<long>").distinct(), "items")
     item_seeds = materialize(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int").distinct(), "item-seeds")
-    lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where((F.col("n") < SPAN) & (F.col("n") >= MIN_ITEM)).distinct().collect()]
-    masks = MASKS + tuple("1" * n for n in sorted(lengths))
+    lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where((F.col("n") < MIN_OVERLAP) & (F.col("n") >= MIN_ITEM)).distinct().collect()]
+    masks = MASKS + tuple(m for n in sorted(lengths) for m in item_masks(n))
     windows = materialize(hits(docs, _filter(item_seeds), masks), "windows")
     hit = windows.select("window", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("window", "h.at", F.col("h.seeds").alias("seed"))
     laid = hit.join(checked_broadcast(item_seeds), "seed").select("window", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()

@@ -1,5 +1,6 @@
 """SimHash near-duplicates, line dedup and decontamination against brute force."""
 
+import itertools
 import random
 import re
 
@@ -182,6 +183,46 @@ def test_decontamination_finds_planted_and_nothing_else(spark):
     assert len(found) >= 0.98 * len(brute)
 
 
+def brute_stretch(same):
+    """Length of the longest stretch of which four fifths match, by trying all."""
+    return max((j - i for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
+
+
+def test_longest_stretch_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        same = [rng.random() < rng.choice((0.5, 0.8, 0.95)) for _ in range(rng.randint(0, 40))]
+        length, matches = decontaminate.best_stretch(np.array(same, dtype=bool))
+        assert length == brute_stretch(same) and 5 * matches >= 4 * length
+
+
+@pytest.mark.parametrize("n", range(5, 26))
+def test_seeds_meet_every_way_to_replace_words(n):
+    masks = [(sum(1 << i for i, kept in enumerate(m) if kept == "1"), len(m)) for m in decontaminate.item_masks(n)]
+    for gone in itertools.combinations(range(n), n // 5):
+        same = (1 << n) - 1 - sum(1 << i for i in gone)
+        assert any((same >> at) & m == m for m, span in masks for at in range(n - span + 1)), gone
+
+
+def test_decontamination_finds_all_with_replaced_words(spark):
+    """Words replaced at random up to the similarity, without reading the operator's own stretches."""
+    rng, items, rows = random.Random(8), [], []
+    for n, k in [(5, 1), (8, 1), (11, 2), (12, 2), (13, 1), (13, 2), (15, 2), (15, 3), (18, 3), (20, 4), (25, 5), (30, 6)]:
+        for _ in range(8):
+            item = [f"i{len(items)}x{j}" for j in range(n)]
+            copy = list(item)
+            for at in rng.sample(range(n), k):
+                copy[at] = "other"
+            rows.append((len(items), " ".join(["before"] * 50 + copy + ["after"] * 50)))
+            rows.append((1000 + len(items), " ".join("other" if j % 4 == 0 else w for j, w in enumerate(item))))  # under 0.8
+            items.append((len(items), " ".join(item)))
+    found = decontaminate.leaks(make(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    same = lambda d: [a == b for a, b in zip(items[d % 1000][1].split(), [w for w in rows_of[d].split() if w not in ("before", "after")], strict=True)]
+    rows_of = dict(rows)
+    want = {(d, d % 1000) for d in rows_of if brute_stretch(same(d)) >= min(13, len(same(d)))}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and {(d, d) for d in range(len(items))} <= want
+
+
 def test_seed_ignores_its_free_positions():
     words = np.arange(13, dtype=np.uint64)
     for mask in decontaminate.MASKS:
