@@ -1,16 +1,16 @@
 """Training-corpus pipeline: five stages, each over all that the one before kept.
 
-quality rules -> line dedup -> SimHash near-dedup -> benchmark decontamination -> SentencePiece ids.
+quality rules -> line dedup -> SimHash and shingle near-dedup -> benchmark decontamination -> SentencePiece ids.
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 `documents`. Stages behave as their operators document for nulls, empty texts, ties and repeated rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, line_dedup, pieces, quality_rules, simhash
+from tallyloom.llm import decontaminate, line_dedup, pieces, quality_rules, shingles
 from tallyloom.llm.common import checked_broadcast, materialize, table
 from tallyloom.llm.queries import piece_model, with_trust
 
@@ -18,10 +18,14 @@ from tallyloom.llm.queries import piece_model, with_trust
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `ids`(gone), null-safe."""
-    ids = checked_broadcast(materialize(ids.select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+def _row(docs: DataFrame) -> Column:
+    """Names a document by its id and its text, so that null and repeated ids stay apart."""
+    return F.xxhash64(docs["doc_id"].isNull(), docs["doc_id"], docs["text"].isNull(), docs["text"])
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`docs` without the rows named in `rows`(gone)."""
+    return docs.join(checked_broadcast(materialize(rows.select("gone").distinct(), "gone")), _row(docs) == F.col("gone"), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +43,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates."""
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near-duplicates: that with the smallest doc_id, null ids last.
+
+    Groups are linked by five-word shingles or by fingerprints; a document in several rows stays in one.
+    """
+    found = materialize(shingles.groups(docs, _row(docs)), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    least = found.groupBy("group").agg(F.min(order)["row"].alias("stays"), F.count("*").alias("c")).where("c > 1").select("group", "stays")
+    linked = found.join(checked_broadcast(materialize(least, "near-least")), "group")
+    kept = _without(docs, linked.where("row <> stays").select(F.col("row").alias("gone")))
+    repeated = materialize(linked.where("row = stays").groupBy("row").agg(F.count("*").alias("c")).where("c > 1").select(F.col("row").alias("gone")), "near-repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(checked_broadcast(repeated), _row(kept) == F.col("gone")).dropDuplicates(["gone"]).drop("gone")
+    return _without(kept, repeated).unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    ids = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone"))
+    ids = checked_broadcast(materialize(ids.distinct(), "gone"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages: what each keeps, its columns, and its odd inputs."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -58,3 +60,30 @@ def test_odd_documents(spark, sf_small, k):
     docs = spark.createDataFrame(rows, schema)
     assert stage(spark, docs, sf_small).count() <= len(rows), name
     assert stage(spark, docs.where("false"), sf_small).count() == 0, name
+
+
+def test_near_stage_reaches_four_fifths_of_five_word_shingles(spark, sf_small):
+    rng, rows = random.Random(6), []
+    for base in range(60):
+        words = [f"b{base}w{i}" for i in range(rng.choice((40, 90, 200)))]
+        rows.append(" ".join(words))
+        for _ in range(3):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(1, 1 + len(copy) // 40)):
+                copy[at : at + 1] = rng.choice(([], ["new"], ["new", "word"]))
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    parts = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    alike = [[len(x & y) >= 0.8 * len(x | y) for y in parts] for x in parts]
+    prints = [simhash.fingerprint(t.encode()) % (1 << 64) for t in rows]
+    far = sum(alike[i][j] and (prints[i] ^ prints[j]).bit_count() > simhash.BITS for i in range(len(rows)) for j in range(i))
+    assert far > 20  # pairs that fingerprints at 4 bits leave apart
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (alike[i][j] or (prints[i] ^ prints[j]).bit_count() <= simhash.BITS) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, sf_small).collect()}
+    assert got == set(group)
