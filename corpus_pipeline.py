@@ -61,9 +61,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    ids = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone"))
-    ids = checked_broadcast(materialize(ids.distinct(), "gone"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone"]), "left_anti")
+    rows = docs.select(_row(docs).alias("doc_id"), "text")
+    return _without(docs, decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("gone")))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,14 @@ def test_near_stage_reaches_four_fifths_of_five_word_shingles(spark, sf_small):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, sf_small).collect()}
     assert got == set(group)
+
+
+def test_stages_drop_only_the_row_found(spark, sf_small):
+    item = spark.read.parquet(f"{sf_small}/benchmark.parquet").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id").first().text
+    copy, clean, other = "some words that occur in two rows of this table", "clean text one", "another text that is clean"
+    rows = [(1, copy), (None, copy), (None, clean), (7, other), (7, copy), (None, item), (None, "null copies"), (None, "null copies")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    read = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    near = corpus_pipeline.simhash_stage(spark, docs, sf_small)
+    assert read(near) == sorted([(1, copy), (None, clean), (7, other), (None, item), (None, "null copies")], key=str)
+    assert read(corpus_pipeline.decontamination_stage(spark, docs, sf_small)) == sorted([r for r in rows if r[1] != item], key=str)
