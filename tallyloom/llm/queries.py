@@ -108,9 +108,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+WITH parts AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, string_split(text, chr(10)) AS p FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
 occ AS (
-  SELECT doc_id, i - 1 AS line_no, doc_id::HUGEINT * 2147483648 + i - 1 AS place, trim(p[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
+  SELECT r, i - 1 AS line_no, r::HUGEINT * 2147483648 + i - 1 AS place, trim(p[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
   FROM parts, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)
 ),
 named AS (SELECT * FROM occ WHERE line <> ''),
@@ -129,18 +129,19 @@ near AS (
   SELECT x.line FROM variants x JOIN sides s ON x.v = s.v AND x.n = s.n WHERE x.first > CASE WHEN x.place = 0 THEN s.long ELSE s.short END
 ),
 gone AS (
-  SELECT DISTINCT n.doc_id, n.line_no FROM named n JOIN firsts f ON n.line = f.line WHERE n.place <> f.first OR n.line IN (SELECT line FROM near)
+  SELECT DISTINCT n.r, n.line_no FROM named n JOIN firsts f ON n.line = f.line WHERE n.place <> f.first OR n.line IN (SELECT line FROM near)
 ),
 flagged AS (
-  SELECT o.doc_id, o.line_no, p.p[o.line_no + 1] AS line, g.line_no IS NOT NULL AS out
-  FROM occ o JOIN parts p ON o.doc_id = p.doc_id LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.line_no = o.line_no
+  SELECT o.r, o.line_no, p.p[o.line_no + 1] AS line, g.line_no IS NOT NULL AS out
+  FROM occ o JOIN parts p ON o.r = p.r LEFT JOIN gone g ON g.r = o.r AND g.line_no = o.line_no
 ),
 kept AS (
-  SELECT doc_id, count(*) FILTER (out) AS n_dropped, coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (out), '') AS dropped,
-    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT out), '') AS text
-  FROM flagged GROUP BY doc_id
+  SELECT r, count(*) FILTER (out) AS n_dropped, coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (out), '') AS dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT out), '') AS kept
+  FROM flagged GROUP BY r
 )
-SELECT doc_id, n_dropped, dropped, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+SELECT d.doc_id, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped, length(kept) AS kept_chars, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN parts p ON d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.text = p.text LEFT JOIN kept USING (r)
 """
 
 

@@ -92,47 +92,59 @@ def test_long_chain_is_one_component(spark):
     assert {r.root for r in components.connected_components(edges).collect()} == {0}
 
 
-def brute_near(a, b):
-    if a == b:
-        return True
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    short, long = sorted((a, b), key=len)
-    return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
-
-
-def brute_lines(rows):
+def distance(a, b):
+    """Edit distance of word sequences."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], min(before + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def brute_lines(spark, rows, edits):
+    """Dropped line numbers by (id, text): every line against all earlier ones."""
+    docs = make(spark, rows)
+    hashes = {(r.doc_id, r.text): r.ra for r in docs.select("doc_id", "text", *[c.alias(n) for n, c in line_dedup.row_names(docs).items()]).collect()}
+    order = lambda k: (0, hashes[k]) if k[0] is None else (1, k[0], hashes[k] % (1 << 31))
     seen, dropped = [], {}
-    lines = sorted(((-(1 << 63) if d is None else d), i, line.strip(" \t\n\x0b\x0c\r")) for d, t in rows if t is not None for i, line in enumerate(t.split("\n")))
-    for d, i, line in lines:
-        if not line:
-            continue
-        words = re.split("[\\x20\\x09-\\x0D]+", line)
-        if any(line == other or (min(len(words), len(w)) >= 5 and brute_near(words, w)) for at, other, w in seen if at != (d, i)):
-            dropped.setdefault(d, []).append(i)
-        seen.append(((d, i), line, words))
+    for d, t in sorted({r for r in rows if r[1] is not None}, key=order):
+        for i, line in enumerate(t.split("\n")):
+            line = line.strip(" \t\n\x0b\x0c\r")
+            if not line:
+                continue
+            words = re.split("[\\x20\\x09-\\x0D]+", line)
+            near = lambda w: distance(words, w) <= min(edits, min(len(words), len(w)) // 5)  # noqa: B023, E731
+            if any(line == other or near(w) for other, w in seen):
+                dropped.setdefault((d, t), []).append(i)
+            seen.append((line, words))
     return dropped
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("edits", [1, 2])
+def test_line_dedup_equals_brute_force(spark, edits):
     rng, lines = random.Random(5), []
     for _ in range(40):
-        base = [rng.choice(WORDS[:60]) for _ in range(rng.choice((1, 4, 5, 6, 9, 25)))]
+        base = [rng.choice(WORDS[:60]) for _ in range(rng.choice((1, 4, 5, 6, 9, 10, 12, 25)))]
         lines.append(base)
         for _ in range(rng.randint(0, 3)):
-            copy, at = list(base), rng.randrange(len(base))
-            kind = rng.randrange(4)
-            copy[at : at + (kind < 2)] = [rng.choice(WORDS)] if kind in (0, 2) else []
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at, kind = rng.randrange(len(copy) + 1), rng.randrange(4)
+                copy[at : at + (kind < 2)] = [rng.choice(WORDS)] if kind in (0, 2) else []
             lines.append(copy or ["z"])
     rng.shuffle(lines)
     texts = ["\n".join(" ".join(x) for x in lines[i : i + 4]) for i in range(0, len(lines), 4)]
+    same = " ".join(lines[1])
     rows = [*enumerate(texts), (900, None), (901, ""), (902, "\n\n"), (903, " " + " ".join(lines[0]) + "\t"), (None, "the only line of this text")]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(make(spark, rows)).collect()}
-    want = brute_lines(rows)
-    assert {d: r.dropped_lines for d, r in got.items() if r.dropped_lines} == want
-    for d, text in rows:
-        keep = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in want.get(d, []))
-        assert got[d].text == keep
+    # null and repeated ids with texts that differ, and rows that are equal
+    rows += [(None, "other\nUNIQUE LINE"), (5, f"{same}\nKEEP ME"), (5, "w\nKEEP ME TOO"), (5, "w\nKEEP ME TOO"), (None, "w\nx y z"), (None, None), (7, f"x\n{same}"), (7, f"y\n{same}\nx"), (-(1 << 63), "w\nlast"), ((1 << 63) - 1, "w\nfirst")]
+    got = line_dedup.dedup_lines(make(spark, rows), edits).collect()
+    want = brute_lines(spark, rows, edits)
+    kept = lambda t, gone: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    expected = [(d, kept(t, want.get((d, t), [])), want.get((d, t), [])) for d, t in rows]
+    assert sorted(((r.doc_id, r.text, r.dropped_lines) for r in got), key=str) == sorted(expected, key=str)
+    assert len(want) > 20 and any("UNIQUE LINE" in (r.text or "") for r in got)
 
 
 def test_line_dedup_passes_other_columns(spark):
