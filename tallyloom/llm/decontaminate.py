@@ -11,17 +11,19 @@ The seeds lose nothing: however words are replaced in a stretch of 13 to 25 word
 similarity, some mask meets kept words only (a test tries all ways), and a longer stretch splits into
 such lengths, one of which reaches the similarity. Items under `MIN_OVERLAP` words are sought by masks
 of their own length, cut into blocks, that ignore every choice of as many blocks as words may be
-replaced; items under `MIN_ITEM` words are not sought.
+replaced (none in items under 5 words, which must occur as they are).
 
 Documents are scanned once, in full. A Bloom filter of the benchmark's seeds (fixed size, broadcast)
-keeps the seeds that may match; only these, with the words around them, are shuffled. Seeds and items
-are broadcast only within a counted bound, else joined by shuffle.
+keeps the seeds that may match; only these, with the words around them, are shuffled. Words beyond a
+window cannot belong to the stretch: without hits, every 13 words lose at least 2 of its sum (a match
+counts 1, a replaced word -4), so it reaches at most 7 words for each word between its outermost hits.
+Windows with the same words and items with the same words fold into one before they meet. Seeds and
+items are broadcast only within a bound in bytes, else joined by shuffle.
 
 Edge cases: null and empty texts have no words and are clean; rows that repeat a doc_id share their
 findings; null ids of documents are kept as one id; repeated items count by their item_id and items
-without an id are not sought;
-an empty benchmark leaves all documents clean; other columns are not read. A stretch that runs past
-`PAD` words from its outermost hit is reported up to there.
+without an id or without words are not sought; an empty benchmark leaves all documents clean; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +41,13 @@ from tallyloom.llm.features import Prefixes, chunks, mix, runs
 
 #: Spaced seeds, 1: kept, 0: ignored. Fixed values.
 MASKS = ("1111001", "11001000011", "101111")
-MIN_ITEM = 5
 MIN_OVERLAP = 13
 MIN_SIMILARITY = 0.8
 #: Beside +1 for a match: MIN_SIMILARITY of the words match where the sum is 0 or more.
 MISMATCH = -4
-PAD = 40
+#: A window reaches PAD + REACH * (words from its first to its last hit) words beyond its hits.
+PAD, REACH = 26, 7
 FILTER_BITS = 27
-ITEM_TOKENS_BROADCAST = 4_000_000
 _WORD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -75,7 +75,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 def item_masks(n_words: int) -> tuple[str, ...]:
     if n_words >= MIN_OVERLAP:
         return MASKS
-    if n_words < MIN_ITEM:
+    if not n_words:
         return ()
     replaced = n_words // 5  # at MIN_SIMILARITY
     blocks = replaced + 2
@@ -98,6 +98,18 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return end - start, int(same[start:end].sum())
 
 
+def clusters(at: np.ndarray, ends: np.ndarray, n_words: int) -> list[tuple[int, int, int, int]]:
+    """(first hit, hit after the last, first word, word after the last) of windows around sorted hits, none overlapping."""
+    out: list[tuple[int, int, int, int]] = []
+    pad = lambda a, b: PAD + REACH * int(ends[b - 1] - at[a])
+    for k in range(len(at)):
+        a, b = k, k + 1
+        while out and int(at[a]) - pad(a, b) < out[-1][3]:
+            a = out.pop()[0]
+        out.append((a, b, max(0, int(at[a]) - pad(a, b)), min(n_words, int(ends[b - 1]) + pad(a, b))))
+    return out
+
+
 def is_leak(length: int, matches: int, item_words: int) -> bool:
     return length >= min(MIN_OVERLAP, item_words) and matches >= MIN_SIMILARITY * length
 
@@ -135,13 +147,12 @@ def _filter(item_seeds: DataFrame) -> np.ndarray:
 
 
 def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
-    """(window, doc_id, start, words, at, seeds): stretches of words around seeds that pass the filter."""
+    """(a, b, doc_id, words, at, seeds): stretches of words around seeds that pass the filter, named by 128 bits of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         passes = lambda s: (table[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1
-        task, serial = TaskContext.get().partitionId(), 0
         for batch in small_batches(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -160,50 +171,64 @@ def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame
                     continue
                 order = np.argsort(at, kind="stable")
                 at, found, ends = at[order], found[order], np.maximum.accumulate(ends[order])
-                cuts = np.flatnonzero(at[1:] - PAD > ends[:-1] + PAD) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                    lo, hi = max(0, int(at[a]) - PAD), min(len(words), int(ends[b - 1]) + PAD)
-                    rows.append(((task << 40) + serial, doc, words[lo:hi].view(np.int64), (at[a:b] - lo).astype(np.int32), found[a:b].view(np.int64)))
-                    serial += 1
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["window", "doc_id", "words", "at", "seeds"])
+                for a, b, lo, hi in clusters(at, ends, len(words)):
+                    rows.append((doc, words[lo:hi].view(np.int64), (at[a:b] - lo).astype(np.int32), found[a:b].view(np.int64)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "words", "at", "seeds"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(windows, "window long, doc_id long, words array<long>, at array<int>, seeds array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(windows, "doc_id long, words array<long>, at array<int>, seeds array<long>")
+    return found.select(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"), "doc_id", "words", "at", "seeds")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        out: list[list] = [[], [], [], []]
-        for doc, item, shift, words, item_words in zip(*(batch.column(c) for c in ("doc_id", "item_id", "shift", "words", "item_words")), strict=True):
+        rows, counts = [], ([], [])
+        for row, (shift, words, item_words) in enumerate(zip(*(batch.column(c) for c in ("shift", "words", "item_words")), strict=True)):
             w, x, shift = words.values.to_numpy(), item_words.values.to_numpy(), shift.as_py()
             lo, hi = max(0, -shift), min(len(x), len(w) - shift)
             length, matches = best_stretch(w[lo + shift : hi + shift] == x[lo:hi])
             if is_leak(length, matches, len(x)):
-                for column, value in zip(out, (doc.as_py(), item.as_py(), length, matches), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "item_id", "overlap", "matches"])
+                rows.append(row)
+                counts[0].append(length)
+                counts[1].append(matches)
+        kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("a", "b", "item")]
+        yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, pa.int64()) for c in counts]], ["a", "b", "item", "overlap", "matches"])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows (doc_id, a, b), overlaps (a, b, item, overlap, matches) of their words, and names (item, item_id) of the items."""
+    named = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id long, item_words array<long>")
+    named = materialize(named.where(F.size("item_words") > 0).select(F.xxhash64("item_words").alias("item"), "item_id", "item_words").distinct(), "item-names")
+    items = materialize(named.select("item", "item_words").dropDuplicates(["item"]), "items")
+    item_seeds = materialize(items.select(F.col("item").alias("item_id"), "item_words").mapInArrow(_item_seeds, "item_id long, seed long, item_at int").distinct(), "item-seeds").withColumnRenamed("item_id", "item")
+    lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < MIN_OVERLAP).distinct().collect()]
+    masks = MASKS + tuple(m for n in sorted(lengths) for m in item_masks(n))
+    windows = materialize(hits(docs, _filter(item_seeds), masks), "windows")
+    # the hits of a window follow from its words; any of the equal rows serves
+    once = materialize(windows.drop("doc_id").dropDuplicates(["a", "b"]), "distinct-windows")
+    hit = once.select("a", "b", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("a", "b", "h.at", F.col("h.seeds").alias("seed"))
+    laid = hit.join(checked_broadcast(item_seeds), "seed").select("a", "b", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    pairs = laid.join(once.select("a", "b", "words"), ["a", "b"]).join(checked_broadcast(items), "item")
+    found = pairs.select("a", "b", "item", "shift", "words", "item_words").mapInArrow(_verified, "a long, b long, item long, overlap long, matches long")
+    best = found.groupBy("a", "b", "item").agg(F.max(F.struct("overlap", "matches")).alias("best")).select("a", "b", "item", "best.*")
+    return windows.select("doc_id", "a", "b"), materialize(best, "overlaps"), named.select("item", "item_id")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, overlap, matches): every document and item that overlap, with the longest stretch."""
-    items = materialize(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_items, "item_id long, item_words array<long>").distinct(), "items")
-    item_seeds = materialize(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at int").distinct(), "item-seeds")
-    lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where((F.col("n") < MIN_OVERLAP) & (F.col("n") >= MIN_ITEM)).distinct().collect()]
-    masks = MASKS + tuple(m for n in sorted(lengths) for m in item_masks(n))
-    windows = materialize(hits(docs, _filter(item_seeds), masks), "windows")
-    hit = windows.select("window", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("window", "h.at", F.col("h.seeds").alias("seed"))
-    laid = hit.join(checked_broadcast(item_seeds), "seed").select("window", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    total = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    pairs = laid.join(windows.select("window", "doc_id", "words"), "window").join(F.broadcast(items) if total <= ITEM_TOKENS_BROADCAST else items, "item_id")
-    found = pairs.select("doc_id", "item_id", "shift", "words", "item_words").mapInArrow(_verified, "doc_id long, item_id long, overlap long, matches long")
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "matches")).alias("best")).select("doc_id", "item_id", "best.overlap", "best.matches")
+    windows, overlaps, names = _found(docs, benchmark)
+    pairs = windows.join(checked_broadcast(overlaps), ["a", "b"]).join(checked_broadcast(names), "item")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("overlap", "matches")).alias("best")).select("doc_id", "item_id", "best.overlap", "best.matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, items, overlap, matches) of every contaminated doc_id."""
-    found = leaks(docs, benchmark)
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("overlap").alias("overlap"), F.max("matches").alias("matches"))
+    windows, overlaps, names = _found(docs, benchmark)
+    # by window first: copies of a window do not multiply its items
+    listed = overlaps.join(checked_broadcast(names), "item").groupBy("a", "b").agg(F.collect_set("item_id").alias("items"), F.max("overlap").alias("overlap"), F.max("matches").alias("matches"))
+    rows = windows.join(checked_broadcast(materialize(listed, "window-items")), ["a", "b"])
+    return rows.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("overlap").alias("overlap"), F.max("matches").alias("matches"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

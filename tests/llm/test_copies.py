@@ -161,11 +161,9 @@ def brute_leaks(rows, items):
         w = decontaminate.tokens(text)
         for k, item in items:
             x = decontaminate.tokens(item)
-            if len(x) < decontaminate.MIN_ITEM:
-                continue
             for shift in range(-len(x) + 1, len(w)):
                 lo, hi = max(0, -shift), min(len(x), len(w) - shift)
-                if decontaminate.is_leak(*decontaminate.best_stretch(w[lo + shift : hi + shift] == x[lo:hi]), len(x)):
+                if brute_stretch((w[lo + shift : hi + shift] == x[lo:hi]).tolist()) >= min(13, len(x)):
                     out.add((d, k))
     return out
 
@@ -173,7 +171,7 @@ def brute_leaks(rows, items):
 def test_decontamination_finds_planted_and_nothing_else(spark):
     rng = random.Random(1)
     draw = lambda n: [rng.choice(WORDS) for _ in range(n)]
-    items = [(k, draw(n)) for k, n in enumerate((8, 12, 13, 20, 30, 60, 3))]
+    items = [(k, draw(n)) for k, n in enumerate((8, 12, 13, 20, 30, 60, 3, 1))]
     rows, planted = [], set()
     for d in range(60):
         k, item = items[d % 6]
@@ -186,13 +184,14 @@ def test_decontamination_finds_planted_and_nothing_else(spark):
         leak = d % 4 != 3
         rows.append((d, " ".join(body[:at] + (passage if leak else []) + body[at:]).title()))
         planted |= {(d, k)} if leak else set()
-    rows += [(100, None), (101, ""), (102, " ".join(draw(70_000))), (103, " ".join(items[6][1]))]
+    items[7] = (7, ["alone"])
+    rows += [(100, None), (101, ""), (102, " ".join(draw(70_000))), (103, " ".join(items[6][1])), (104, "stands Alone."), (105, " ".join(items[5][1] * 2)), (106, " ".join(items[5][1] * 2))]
+    planted |= {(103, 6), (104, 7), (105, 5), (106, 5)}
     texts = [(k, " ".join(w)) for k, w in items]
     bench = spark.createDataFrame([*texts, (50, None), (None, "a b c d e f g h i j k l m n")], "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make(spark, rows), bench).collect()}
     brute = brute_leaks([r for r in rows if r[0] != 102], texts)
-    assert planted <= found and found <= brute
-    assert len(found) >= 0.98 * len(brute)
+    assert planted <= found and {f for f in found if f[0] != 102} == brute
 
 
 def brute_stretch(same):
@@ -200,6 +199,18 @@ def brute_stretch(same):
     return max((j - i for i in range(len(same)) for j in range(i + 1, len(same) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i)), default=0)
 
 
+def test_stretch_is_reported_in_full(spark):
+    """A long overlap with a gap that no seed meets is one stretch; 13 words stay found before many that are half replaced."""
+    item = [f"i{k}" for k in range(240)]
+    gap = item[:100] + ["other"] * 25 + item[125:]
+    half = item[:13] + [w for k in range(14) for w in ("x", "y", *item[15 + 9 * k : 22 + 9 * k])]
+    rows = [(1, " ".join(["before"] * 90 + gap + ["after"] * 90)), (2, " ".join(half)), (3, " ".join(["before"] * 9 + item[:30] + ["x"] * 6 + ["after"] * 90))]
+    found = decontaminate.leaks(make(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.overlap, r.matches) for r in found if r.doc_id != 2} == {1: (240, 215), 3: (37, 30)}
+    same = [a == b for a, b in zip(half, item, strict=False)]
+    assert {r.overlap for r in found if r.doc_id == 2} == {brute_stretch(same)}
+
+
 def test_longest_stretch_equals_brute_force():
     rng = random.Random(4)
     for _ in range(300):
@@ -208,7 +219,7 @@ def test_longest_stretch_equals_brute_force():
         assert length == brute_stretch(same) and 5 * matches >= 4 * length
 
 
-@pytest.mark.parametrize("n", range(5, 26))
+@pytest.mark.parametrize("n", range(1, 26))
 def test_seeds_meet_every_way_to_replace_words(n):
     masks = [(sum(1 << i for i, kept in enumerate(m) if kept == "1"), len(m)) for m in decontaminate.item_masks(n)]
     for gone in itertools.combinations(range(n), n // 5):
