@@ -4,15 +4,16 @@ Fingerprint: A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`, 4-word shingles (rep
 space-joined; fewer words: the whole sequence; none: zero), XXH64 with seed 42; a bit is set if
 it is set in over half of the hashes.
 
-Linking at `bits` or fewer differing bits, exactly. The 64 bits are cut into bits // 2 + 1 bands, so
-that a linked pair differs in at most one bit of some band. Each band has a tree of vantage points:
-level l puts a fingerprint on the ring given by its Hamming distance, within the band, to vantage
-point l, and the rings of all levels name a leaf (shard). The triangle bound leaves rings d - 1, d
-and d + 1 to search; distances of a pair that differs in exactly one bit change by exactly one at
-every level, and of an equal pair by nothing. So a query visits its own leaf and the
-boundary-overlapping leaves with +-1 at every level; of two such leaves that see each other only
-one asks. Leaves meet in an equi-join and a popcount verifies each pair.
-Depth grows with the logarithm of the distinct fingerprints; every row goes through the same path.
+Linking at `bits` or fewer differing bits, exactly. The 64 bits are cut into `bits` + 2 blocks, so a
+linked pair is equal in two blocks at least: each choice of two blocks makes a forest whose trees are
+named by the bits of these blocks. Within a tree, every node has a vantage point of its own and puts
+its fingerprints on rings of `bits` + 1 distances from it (Hamming, over the other blocks); a ring is a
+node of the next level and the last level's rings are leaves (shards). By the triangle bound the
+distances of a linked pair differ by `bits` at most, so a query visits its own ring and those that
+this bound reaches over the boundary. While both are in one ring they see each other, and only the
+one nearer to the vantage point asks across the boundary. Leaves meet in an equi-join and a popcount
+verifies each pair. Depth grows with the logarithm of the distinct fingerprints; every row goes
+through the same path.
 
 Copies fold into one fingerprint before the search, so a group of copies costs one node.
 
@@ -24,8 +25,7 @@ null; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import product
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -77,45 +77,54 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bands(bits: int) -> list[int]:
-    n = bits // 2 + 1
+def forests(bits: int) -> list[int]:
+    """For each choice of two of `bits` + 2 blocks, the mask of their bits."""
+    n = bits + 2
     edges = [64 * i // n for i in range(n + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    return [x | y for x, y in combinations(blocks, 2)]
 
 
-def _vantage(band: int, level: int) -> int:
-    return xxhash.xxh64_intdigest(f"{band}/{level}".encode(), SEED)
+def depth_for(n: int) -> int:
+    """Levels of the trees over n fingerprints: a tree of two blocks holds about n / 2**21 of them."""
+    return max(1, min(4, (max(n, 1).bit_length() - 14) // 6))
 
 
-def _leaf(rings: list[Column], shift: tuple[int, ...]) -> Column:
-    """Name of the leaf whose ring at each level is moved by `shift` (6 bits a level)."""
-    parts = [(r + (s + 1)) * F.lit(64**i).cast("long") for i, (r, s) in enumerate(zip(rings, shift, strict=True))]
-    return reduce(lambda a, b: a + b, parts)
+def _roots(nodes: DataFrame, bits: int) -> DataFrame:
+    """`nodes` once for each forest, with `mask` (the bits that the vantage points compare) and the root of its tree."""
+    masks = forests(bits)
+    trees = [F.struct(F.lit(_signed(~m & (1 << 64) - 1)).cast("long").alias("mask"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("node")) for k, m in enumerate(masks)]
+    return nodes.select("fp", F.inline(F.array(*trees)))
 
 
-def depth_for(n: int) -> int:
-    """Levels of a tree over n fingerprints: each level divides the rows of a leaf by about eight."""
-    return max(2, min(9, -(-max(n, 1).bit_length() * 2 // 9)))
+def leaves(nodes: DataFrame, bits: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, mask, node) of every fingerprint's own leaves, and (fp, node, same) of the leaves it visits."""
+    width = bits + 1
+    # the vantage point of a node follows from its name
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64(F.lit(SEED), "node")).bitwiseAND(F.col("mask")))
+    ring = lambda d: F.floor(d / width).cast("int")
+    below = lambda r: F.xxhash64("node", r)
+    homes = _roots(nodes, bits)
+    asked = homes.withColumn("same", F.lit(True))
+    for _ in range(levels):
+        homes = homes.select("fp", "mask", below(ring(distance)).alias("node"))
+        first = F.when(F.col("same"), F.col("d")).otherwise(F.greatest(F.col("d") - bits, F.lit(0)))
+        visited = asked.withColumn("d", distance).select("*", F.explode(F.sequence(ring(first), ring(F.col("d") + bits))).alias("r"))
+        asked = visited.select("fp", "mask", below(F.col("r")).alias("node"), (F.col("same") & (F.col("r") == ring(F.col("d")))).alias("same"))
+    return homes, asked
+
+
+def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): the pairs that share a leaf, before they are verified."""
+    homes, asked = leaves(nodes, bits, depth_for(nodes.count()))
+    asked = asked.select(F.col("fp").alias("a"), F.col("node").alias("visited"), "same")
+    return asked.join(homes.select(F.col("fp").alias("b"), "node"), (F.col("visited") == F.col("node")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Pairs (u < v) of the distinct `fp` of `nodes` at `bits` or fewer differing bits, possibly repeated across bands."""
-    levels = depth_for(nodes.count())
-    own, asked = [], []
-    for band, mask in enumerate(_bands(bits)):
-        masked = F.lit(_signed(mask)).cast("long")
-        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(_vantage(band, i))).cast("long")).bitwiseAND(masked)) for i in range(levels)]
-        own.append(F.struct(F.lit(band).alias("band"), _leaf(rings, (0,) * levels).alias("leaf")))
-        asked.append(F.struct(F.lit(band).alias("band"), _leaf(rings, (0,) * levels).alias("leaf"), F.lit(True).alias("same"), masked.alias("mask")))
-        asked += [F.struct(F.lit(band).alias("band"), _leaf(rings, (1, *rest)).alias("leaf"), F.lit(False).alias("same"), masked.alias("mask")) for rest in product((-1, 1), repeat=levels - 1)]
-    homes = nodes.select(F.col("fp").alias("b"), F.inline(F.array(*own)))
-    queries = nodes.select(F.col("fp").alias("a"), F.inline(F.array(*asked)))
-    differing = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = homes.join(
-        queries,
-        (homes["band"] == queries["band"]) & (homes["leaf"] == queries["leaf"]) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(differing.bitwiseAND(F.col("mask"))) <= 1) & (F.bit_count(differing) <= bits),
-    )
-    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    """Pairs (u < v) of the distinct `fp` of `nodes` at `bits` or fewer differing bits, possibly repeated across forests."""
+    near = candidates(nodes, bits).where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b")))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:

@@ -80,6 +80,18 @@ def test_pairs_of_random_fingerprints(spark):
     assert got == {(signed(a), signed(b)) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 4}
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_trees_lose_no_pair_at_any_depth(spark, monkeypatch, levels):
+    rng, prints = random.Random(levels), set()
+    for _ in range(100):
+        base = rng.getrandbits(64)
+        prints |= {base, *[base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(4)]}
+    monkeypatch.setattr(simhash, "depth_for", lambda n: levels)
+    nodes = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    got = {(r.u, r.v) for r in simhash.links(nodes).distinct().collect()}
+    assert got == {tuple(sorted((simhash._signed(a), simhash._signed(b)))) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4}
+
+
 def test_simhash_ids(spark):
     got = simhash.near_duplicates(make(spark, [(7, "a b c d e"), (7, "a b c d e"), (None, "a b c d e"), (None, "q r s t u v")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(7, 7), (7, 7)]
