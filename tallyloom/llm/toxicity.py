@@ -1,8 +1,10 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words and the first 4 and 5 bytes of longer words, hashed to
-`1 << SPACE` values. Grouped counts over the labelled sample select the hashes most associated with
-the label (log-likelihood ratio G of at least `LEAST_G`, at most `TERMS`); a factorization machine with linear weights and `rank`
+`1 << SPACE` values. Grouped counts over the labelled sample select the hashes that tell about the
+label: alone (log-likelihood ratio G of at least `LEAST_G`), or only together with another (the G of a
+pair's four cells exceeds the sum of both single ones by `LEAST_PAIR_G`, over all pairs of the
+`PAIR_TERMS` terms whose presence varies most). A factorization machine with linear weights and `rank`
 factors for each term learns from them, so pairs of terms count beyond their single weights.
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the terms present in the whole text.
 
@@ -26,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import small_batches
+from tallyloom.llm.common import materialize, small_batches
 from tallyloom.llm.features import Prefixes, chunks, in_remainder, labelled_sample, runs
 
 SPACE = 30
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 30_000
-TERMS = 4096
+PAIR_TERMS = 2048
 #: A term's G exceeds this by chance about once in 5,000 terms, so few chance terms enter the model.
 LEAST_G = 14.0
+#: A pair's excess exceeds this by chance about once in 10**9 pairs; there are some two million.
+LEAST_PAIR_G = 38.0
+#: Steps of the fit at least: a small sample is read more often.
+STEPS = 2400
 RANK = 8
 _WORD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FILTER = 24  # bits of the table that finds candidate terms fast
@@ -90,15 +96,47 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "pos", "neg"])
 
 
-def select_terms(sample: DataFrame, positive: int, negative: int, n: int = TERMS) -> np.ndarray:
-    """The term hashes with the greatest G over the sample, `n` at most, sorted."""
+def term_counts(sample: DataFrame, positive: int, negative: int) -> DataFrame:
+    """(h, df, g): rows of the sample with each term, and the G of its association with the label."""
     counts = sample.mapInArrow(_counts, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 3")
     total = float(positive + negative)
     df = F.col("pos") + F.col("neg")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     cells = [part(F.col(c), df * (k / total)) + part(F.lit(float(k)) - F.col(c), (total - df) * (k / total)) for c, k in (("pos", positive), ("neg", negative))]
-    chosen = counts.withColumn("g", 2 * (cells[0] + cells[1])).where(F.col("g") >= LEAST_G)
-    return np.sort(np.array([r.h for r in chosen.orderBy(F.desc("g"), "h").limit(n).select("h").collect()], dtype=np.uint32))
+    return counts.select("h", df.alias("df"), (2 * (cells[0] + cells[1])).alias("g"))
+
+
+def _information(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """The part of G of cells with `pos` and `neg` rows, of which `share` would be positive by chance."""
+    n = pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(pos > 0, pos * np.log(pos / (n * share)), 0) + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0))
+
+
+def interacting(rows: list[np.ndarray], y: np.ndarray, n_terms: int, least: float = LEAST_PAIR_G) -> np.ndarray:
+    """The terms of all pairs that tell more about the label than their terms do one by one, sorted."""
+    together = [np.zeros((n_terms, n_terms), dtype=np.float32) for _ in range(2)]
+    for kind in (0, 1):
+        chosen = np.flatnonzero(y == kind)
+        for at in range(0, len(chosen), 1024):
+            block = np.zeros((min(1024, len(chosen) - at), n_terms), dtype=np.float32)
+            for k, i in enumerate(chosen[at : at + 1024]):
+                block[k, rows[i]] = 1
+            together[kind] += block.T @ block
+    total = [float((y == kind).sum()) for kind in (0, 1)]
+    share = total[1] / len(y)
+    single = [t.diagonal().astype(float) for t in together]
+    alone = _information(single[1], single[0], share) + _information(total[1] - single[1], total[0] - single[0], share)
+    found = np.zeros(n_terms, dtype=bool)
+    for i in range(n_terms):
+        both = [t[i].astype(float) for t in together]
+        cells = [[b, single[k][i] - b, single[k] - b, total[k] - single[k][i] - single[k] + b] for k, b in enumerate(both)]
+        excess = sum(_information(p, n, share) for n, p in zip(*cells, strict=True)) - alone[i] - alone
+        excess[i] = 0
+        if (excess >= least).any():
+            found[i] = True
+            found[excess >= least] = True
+    return np.flatnonzero(found)
 
 
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model:
@@ -107,7 +145,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, rank:
     base = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     w0, w, v = np.log(base / (1 - base)), np.zeros(len(hashes)), rng.normal(0, 0.01, (len(hashes), rank))
     g0, gw, gv = 1e-8, np.full(len(hashes), 1e-8), np.full((len(hashes), rank), 1e-8)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 128 // max(len(rows), 1)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 128):
             batch = [rows[i] for i in order[at : at + 128]]
@@ -134,7 +172,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, hashes: np.ndarray, rank:
     return Model(hashes, float(w0), w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, n_terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, pair_terms: int = PAIR_TERMS) -> Model:
     """Fit on about `sample_rows` labelled rows of `docs` for which `usable` holds."""
     sample = labelled_sample(docs, labels, label, usable, sample_rows)
     totals = sample.groupBy(F.col("y") > 0).count().collect()
@@ -143,21 +181,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
     if not positive or not negative:
         share = np.clip(positive / max(positive + negative, 1), 1e-9, 1 - 1e-9)
         return Model(np.empty(0, np.uint32), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, RANK)))
-    hashes = select_terms(sample, positive, negative, n_terms)
+    found = materialize(term_counts(sample, positive, negative), "term-counts")
+    telling = {r.h for r in found.where(F.col("g") >= LEAST_G).select("h").collect()}  # the sample bounds them
+    varying = found.orderBy(F.desc(F.col("df") * (positive + negative - F.col("df"))), "h").limit(pair_terms)
+    hashes = np.array(sorted(telling | {r.h for r in varying.select("h").collect()}), dtype=np.uint32)
     shell = pickle.dumps(Model(hashes, 0.0, np.empty(0), np.empty((0, RANK))))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shell)
         table = model.table()
         for batch in small_batches(batches):
-            found = [model.indices(t, table).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("y")], ["at", "y"])
+            at = [model.indices(t, table).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), batch.column("y")], ["at", "y"])
 
-    got = sample.mapInArrow(rows, "at array<int>, y double").toArrow()
-    at = [np.asarray(x, dtype=np.int64) for x in got.column("at").to_pylist()]
+    got = sample.mapInArrow(rows, "at array<int>, y double").toArrow().combine_chunks()
+    at = [x.values.to_numpy() for x in got.column("at")]
     y = (got.column("y").to_numpy() > 0).astype(float)
-    order = np.lexsort((np.array([hash(tuple(x)) for x in at]), y))  # the same order, however Spark returned the rows
-    return fit_machine([at[i] for i in order], y[order], hashes)
+    order = np.lexsort(([int(x.sum()) for x in at], [hash(tuple(x.tolist())) for x in at], y))  # the same order, however Spark returned the rows
+    at, y = [at[i] for i in order], y[order]
+    kept = np.union1d(np.flatnonzero(np.isin(hashes, list(telling))), interacting(at, y, len(hashes)))
+    place = np.full(len(hashes), -1)
+    place[kept] = np.arange(len(kept))
+    return fit_machine([x[x >= 0] for x in (place[a] for a in at)], y, hashes[kept])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

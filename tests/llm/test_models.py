@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language, quality_model, queries, toxicity
+from tallyloom.llm import features, language, quality_model, queries, toxicity
 
 MODELS = [(toxicity, "toxic"), (quality_model, "quality")]
 
@@ -34,6 +34,41 @@ def test_machine_learns_an_interaction():
     assert min(model.score(np.array([k])) for k in (0, 1)) > max(model.score(np.array([0, 1])), model.score(np.array([], dtype=np.int64)))
 
 
+def test_interacting_terms_are_selected_and_learned(spark):
+    """From texts: toxic exactly if one of two words occurs; neither word alone tells anything."""
+    rng, rows = random.Random(4), []
+    for i in range(2600):
+        words = [f"word{rng.randrange(300)}" for _ in range(rng.randint(5, 40))]
+        present = [w for w in ("insult", "group") if rng.random() < 0.5]
+        for w in present:
+            words.insert(rng.randrange(len(words) + 1), w)
+        rows.append((i, " ".join(words), int(len(present) == 1)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("doc_id") < 2000)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == y for i, _, y in rows[2000:]]) > 0.9
+
+
+def test_interacting_pairs_equal_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.random((400, 9)) < 0.4
+    y = (x[:, 0] ^ x[:, 1] | (rng.random(400) < 0.1)).astype(float)
+
+    def g(*terms):
+        total = 0.0
+        for cell in {tuple(r) for r in x[:, list(terms)].tolist()}:
+            inside = (x[:, list(terms)] == cell).all(axis=1)
+            for kind in (0, 1):
+                seen, expected = (inside & (y == kind)).sum(), inside.sum() * (y == kind).mean()
+                total += 2 * seen * np.log(seen / expected) if seen else 0
+        return total
+
+    for least in (2.0, 10.0):
+        want = {t for i in range(9) for j in range(i) if g(i, j) - g(i) - g(j) >= least for t in (i, j)}
+        assert set(toxicity.interacting([np.flatnonzero(r) for r in x], y, 9, least).tolist()) == want
+
+
 def test_dual_descent_reaches_the_primal_optimum():
     """The dual's weights are as good as the best of many random changes of them."""
     rng = np.random.default_rng(3)
@@ -53,6 +88,15 @@ def test_log_count_ratios(spark):
     assert ratios[up] == pytest.approx(np.log(6)) and ratios[down] == pytest.approx(-np.log(6))
 
 
+def test_indicators_do_not_depend_on_where_a_text_is_cut(monkeypatch):
+    rng = random.Random(7)
+    text = " ".join(rng.choice(("a", "b!", "b!", "long-word", "x\ty", "z\n")) for _ in range(3000))
+    whole = quality_model.indicators(text).tolist()
+    for size in (1, 7, 100):
+        monkeypatch.setattr(quality_model, "chunks", lambda data, size=size: features.chunks(data, size))
+        assert quality_model.indicators(text).tolist() == whole
+
+
 @pytest.mark.parametrize("module,label", MODELS)
 def test_odd_inputs(spark, module, label):
     texts = [None, "", "bad word", "bad word", "good word", "x " * 60_000, "🙂"]
