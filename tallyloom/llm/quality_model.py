@@ -10,7 +10,7 @@ score = sigmoid(slope * margin): 0.5 lies on the decision boundary.
 
 Edge cases: null and empty texts have no indicators and score by the intercept; without labels of
 both classes every text scores the share of label 1 (0.5 without labels); repeated rows are scored
-one by one; very long texts are hashed in parts (a pair across two parts is not counted); an empty
+one by one; very long texts are hashed in parts, pairs across two parts included; an empty
 table gives an empty result; other columns are never inputs.
 """
 
@@ -37,6 +37,7 @@ def indicators(text: str | None) -> np.ndarray:
     """Buckets of the n-grams present in a text, sorted and distinct."""
     present = np.zeros(1 << BITS, dtype=bool)
     mask = np.uint64((1 << BITS) - 1)
+    last, before = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)  # the last token and words of the part before
     for part in chunks((text or "").encode("utf-8", "replace")):
         data = np.frombuffer(part, dtype=np.uint8)
         kind = np.frombuffer(part.translate(_KIND), dtype=np.uint8)
@@ -44,11 +45,13 @@ def indicators(text: str | None) -> np.ndarray:
         change = np.flatnonzero(np.diff(kind, prepend=0)) if len(kind) else np.empty(0, dtype=np.int64)
         ends = np.append(change[1:], len(kind))
         visible = kind[change] > 0 if len(change) else np.empty(0, dtype=bool)
-        tokens = spans.span(change[visible], ends[visible])
+        tokens = np.concatenate((last, spans.span(change[visible], ends[visible])))
+        last = tokens[-1:]
         present[tokens & mask] = True
         present[mix(tokens[:-1] * np.uint64(3) + tokens[1:]) & mask] = True
         starts, stops = runs(kind != 0)
-        whole = spans.span(starts, stops)
+        whole = np.concatenate((before, spans.span(starts, stops)))
+        before = whole[-3:]
         again = whole[1:] == whole[:-1]
         for n in (1, 2, 3):  # runs of equal words, whatever the word
             if again.any():
