@@ -41,10 +41,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/lang/thousand/name, where a short text about a licence is named a licence file."""
+    """Documents as files in source/lang/thousand/hundred.
+
+    A short text about a licence is named a licence file and lies one to four folders deep, by its id.
+    """
     short = (F.size(F.split("text", BLANK_RUN)) <= 40) & F.col("text").ilike("%licen%")
+    folders = F.array(F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("xx")), *[F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 100)])
+    depth = F.when(short, F.pmod("doc_id", F.lit(4)) + 1).otherwise(4).cast("int")
     name = F.concat(F.when(short, "LICENSE-").otherwise(""), F.col("doc_id").cast("string"), F.lit(".txt"))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("xx")), F.floor(F.col("doc_id") / 1000).cast("string"), name)
+    path = F.concat_ws("/", F.slice(folders, F.lit(1), depth), name)
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     return licenses.scan(files).select("doc_id", "path", "own_license", "cosine", "license", "origin")
 
@@ -52,12 +57,18 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op3_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    marks = ", ".join(f"({quoted(w)}, {licenses.mask_of((w,))}::BIGINT)" for w in licenses.MARK_WORDS)
+    told = ", ".join(f"({quoted(code)}, [{', '.join(f'{licenses.mask_of(g)}::BIGINT' for g in groups)}], {licenses.mask_of(none)}::BIGINT)" for code, (groups, none) in licenses.MARKS.items())
     return f"""
 WITH templates(template, license, text) AS (VALUES {values}),
+mark_words(word, mark) AS (VALUES {marks}),
+told(license, groups, others) AS (VALUES {told}),
+short AS (SELECT *, len(string_split_regex(text, '[\x20\x09-\x0D]+')) <= 40 AND text ILIKE '%licen%' AS is_notice FROM documents),
 files AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, 'unknown'), coalesce(lang, 'xx'), (doc_id // 1000)::VARCHAR,
-    CASE WHEN len(string_split_regex(text, '[\x20\x09-\x0D]+')) <= 40 AND text ILIKE '%licen%' THEN 'LICENSE-' ELSE '' END || doc_id || '.txt') AS path
-  FROM documents
+  SELECT doc_id, text, array_to_string([coalesce(source, 'unknown'), coalesce(lang, 'xx'), (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR][1:CASE WHEN is_notice THEN doc_id % 4 + 1 ELSE 4 END], '/')
+    || '/' || CASE WHEN is_notice THEN 'LICENSE-' ELSE '' END || doc_id || '.txt' AS path,
+    CASE WHEN regexp_matches(text, {quoted(licenses.REFUSAL)}) THEN array_to_string([p FOR p IN string_split_regex(text, '\n{{2,}}') IF NOT regexp_matches(p, {quoted(licenses.REFUSAL)})], chr(10) || chr(10)) ELSE text END AS said
+  FROM short
 ),
 tw AS (
   SELECT template, license, word, 1 + ln(count(*)) AS tf FROM (SELECT template, license, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM templates)
@@ -71,23 +82,31 @@ df AS (
 idf AS (SELECT w.word, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) w LEFT JOIN df USING (word), total),
 tv AS (SELECT template, license, word, tf * idf / sqrt(sum(tf * tf * idf * idf) OVER (PARTITION BY template)) AS x FROM tw JOIN idf USING (word)),
 units AS (
-  SELECT path, -1 AS kind, 0 AS u, text AS unit FROM files
-  UNION ALL SELECT path, 0, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split(text, chr(10)) AS p FROM files)
-  UNION ALL SELECT path, 1, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split_regex(text, '\n{{2,}}') AS p FROM files)
+  SELECT path, -1 AS kind, 0 AS u, said AS unit FROM files
+  UNION ALL SELECT path, 0, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split(said, chr(10)) AS p FROM files)
+  UNION ALL SELECT path, 1, unnest(range(1, len(p) + 1)), unnest(p) FROM (SELECT path, string_split_regex(said, '\n{{2,}}') AS p FROM files)
 ),
 terms AS (SELECT path, kind, u, word, count(*) AS n FROM (SELECT path, kind, u, unnest(string_split_regex(lower(unit), '[^a-z0-9]+')) AS word FROM units) WHERE word <> '' GROUP BY ALL),
-weighed AS (SELECT path, kind, u, terms.word, (1 + ln(terms.n)) * coalesce(idf, ln(total.n + 1) + 1) AS y FROM terms LEFT JOIN idf USING (word), total),
-norms AS (SELECT path, kind, u, sqrt(sum(y * y)) AS norm FROM weighed GROUP BY ALL),
+weighed AS (SELECT path, kind, u, terms.word, coalesce(mark, 0) AS mark, (1 + ln(terms.n)) * coalesce(idf, ln(total.n + 1) + 1) AS y FROM terms LEFT JOIN idf USING (word) LEFT JOIN mark_words USING (word), total),
+norms AS (SELECT path, kind, u, sqrt(sum(y * y)) AS norm, bit_or(mark) AS marks FROM weighed GROUP BY ALL),
 dots AS (SELECT path, kind, u, template, license, sum(x * y) AS dot FROM weighed JOIN tv USING (word) GROUP BY ALL),
-scored AS (SELECT path, license, max(round(dot / norm, 6)) AS cosine FROM dots JOIN norms USING (path, kind, u) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD} GROUP BY ALL),
-own AS (SELECT path, license, cosine FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+best AS (
+  SELECT path, kind, u, license, max(round(dot / norm, 6)) AS cosine FROM dots JOIN norms USING (path, kind, u) JOIN told USING (license)
+  WHERE round(dot / norm, 6) >= {licenses.THRESHOLD} AND (marks & others) = 0 AND len([g FOR g IN groups IF (marks & g) = 0]) = 0 GROUP BY ALL
+),
+ordered AS (SELECT path, license, cosine, row_number() OVER o AS k, lead(cosine) OVER o AS next FROM best WINDOW o AS (PARTITION BY path, kind, u ORDER BY cosine DESC, license)),
+judged AS (SELECT path, CASE WHEN cosine - coalesce(next, 0) >= {licenses.MARGIN} THEN license ELSE '{licenses.UNKNOWN}' END AS license, cosine FROM ordered WHERE k = 1),
+own AS (SELECT path, license, cosine FROM judged QUALIFY row_number() OVER (PARTITION BY path ORDER BY license = '{licenses.UNKNOWN}', cosine DESC, license) = 1),
 granted AS (
-  SELECT regexp_replace(path, '/[^/]*$', '') AS folder, license FROM own WHERE regexp_matches(path, '(?i)/(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$')
-  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1
-)
+  SELECT regexp_replace(path, '/[^/]*$', '') AS above, license FROM own WHERE license <> '{licenses.UNKNOWN}' AND regexp_matches(path, '(?i)/(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$')
+  QUALIFY row_number() OVER (PARTITION BY above ORDER BY cosine DESC, license) = 1
+),
+folders AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM files),
+steps AS (SELECT folder, d, array_to_string(string_split(folder, '/')[1:d], '/') AS above FROM folders, LATERAL (SELECT unnest(range(1, len(string_split(folder, '/')) + 1)) AS d)),
+nearest AS (SELECT folder, arg_max(license, d) AS license FROM steps JOIN granted USING (above) GROUP BY folder)
 SELECT f.doc_id, f.path, o.license AS own_license, o.cosine, coalesce(o.license, g.license) AS license,
   CASE WHEN o.license IS NOT NULL THEN 'own' WHEN g.license IS NOT NULL THEN 'directory' ELSE 'none' END AS origin
-FROM files f LEFT JOIN own o USING (path) LEFT JOIN granted g ON g.folder = regexp_replace(f.path, '/[^/]*$', '')
+FROM files f LEFT JOIN own o USING (path) LEFT JOIN nearest g ON g.folder = regexp_replace(f.path, '/[^/]*$', '')
 """
 
 

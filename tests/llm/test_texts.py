@@ -56,7 +56,7 @@ def test_ratio_rejects_what_the_target_lacks(spark):
 
 
 def test_license_own_nearest_and_none(spark):
-    mit, gpl = licenses.TEMPLATES[16][1], licenses.TEMPLATES[12][1]
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
         ("a/LICENSE", mit), ("a/b/COPYING", gpl), ("a/x.py", "code"), ("a/b/c/d/y.py", "code"), ("a/b/z.py", f"head\n\n{mit}\n\nbody"),
         ("n/x.py", None), (None, ""), ("n/x.py", None), ("a/licenses.py", "nothing"), ("n/long.txt", "word " * 50_000),
@@ -71,6 +71,58 @@ def test_license_own_nearest_and_none(spark):
     assert licenses.scan(files.where("false")).count() == 0
 
 
+def gnu(name, version, subject="program"):
+    return f"This {subject} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+HEADERS = [
+    ("GPL-2.0", gnu("GNU General Public License", "2")),
+    ("GPL-3.0", gnu("GNU General Public License", "3")),
+    ("AGPL-3.0", gnu("GNU Affero General Public License", "3")),
+    ("LGPL-2.1", gnu("GNU Lesser General Public License", "2.1", "library")),
+    ("LGPL-3.0", gnu("GNU Lesser General Public License", "3", "library")),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("AGPL-3.0", "# SPDX-License-Identifier: AGPL-3.0-only"),
+    ("MIT", "// SPDX-License-Identifier: MIT"),
+    ("GPL-2.0", "\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991\n\n Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nUse with the GNU Affero General Public License: you have permission to link or combine any covered work with a work licensed under version 3 of the GNU Affero General Public License into a single combined work."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-3.0", "http://creativecommons.org/licenses/by-nc-sa/3.0/"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    (None, "Licensed under CC BY-SA 2.5."),
+    ("MIT", f"Copyright (c) 2020 Some Body\n\n{GRANT}"),
+    (None, GRANT.replace("hereby granted", "hereby not granted")),
+    (None, "No license is granted to any person obtaining a copy under the MIT License."),
+    ("BSD-2-Clause", BSD + AS_IS),
+    ("BSD-3-Clause", BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + AS_IS),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.'),
+    ("MPL-1.1", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License.'),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("unknown", "This work is licensed under the GNU General Public License, version 2 or version 3."),
+    (None, "This paragraph tells of permission, of software and of a license in general, version 2 of the story."),
+]
+
+
+def test_families_and_versions_of_licenses(spark):
+    files = [(f"d{i}/x.py", text) for i, (_, text) in enumerate(HEADERS)]
+    filler = [(f"f{i}.py", f"plain text {i} of no use at all to the reader") for i in range(3000)]
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame(files + filler, "path string, text string")).collect()}
+    wrong = [(want, got[f"d{i}/x.py"], text[:80]) for i, (want, text) in enumerate(HEADERS) if got[f"d{i}/x.py"] != want]
+    assert not wrong
+    assert all(v is None for p, v in got.items() if p.startswith("f"))
+
+
 def test_bound_drops_no_unit(spark):
     """Every unit whose cosine reaches the threshold passes `may_reach`."""
     rng = random.Random(8)
