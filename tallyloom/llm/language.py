@@ -39,12 +39,60 @@ BITS = 15
 EVIDENCE = 60.0
 STRENGTH = 10.0  # pseudo-pages that a host takes from its domain, and a domain from all pages
 SMOOTHING = 0.5
-_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPEN = re.compile(r"(?i)<(?:(script|style)\b|(!--))?")
+_CLOSE = {kind: re.compile(pattern) for kind, pattern in (("script", r"(?i)</script\s*>"), ("style", r"(?i)</style\s*>"), ("!--", "-->"), ("", ">"))}
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})")
+
+
+def unmarked(page: str) -> str:
+    """`page` with a space for every script, style, comment and mark; one that is not closed counts as a plain mark.
+
+    One scan forward: once a kind of close is not found, it is not looked for again, so time grows with the page.
+    """
+    out, at, lost = [], 0, set()
+
+    def close(kind: str, start: int) -> int:
+        if kind in lost:
+            return -1
+        found = _CLOSE[kind].search(page, start)
+        if not found:
+            lost.add(kind)
+            return -1
+        return found.end()
+
+    begin = _OPEN.search(page)
+    while begin:
+        kind = (begin[1] or begin[2] or "").lower()
+        end = close(kind, begin.end())
+        if end < 0 and kind:
+            end = close("", begin.start() + 1)
+        if end < 0 and "" in lost and lost >= set(_CLOSE):
+            break
+        if end < 0:
+            begin = _OPEN.search(page, begin.end())
+            continue
+        out += [page[at : begin.start()], " "]
+        at = end
+        begin = _OPEN.search(page, end)
+    return "".join([*out, page[at:]])
 
 
 def visible(page: str | None) -> str:
     """Text of a page without marks, scripts and styles, with single spaces."""
-    return " ".join(html.unescape(_HIDDEN.sub(" ", page or "")).split())
+    return " ".join(html.unescape(unmarked(page or "")).split())
+
+
+def declared_language(page: str | None) -> str:
+    """The `lang` attribute of the first <html> that has one, in lower case; empty without one."""
+    at, page = 0, page or ""
+    while found := _HTML.search(page, at):
+        at = page.find(">", found.end())
+        at = len(page) if at < 0 else at
+        # another <html> before the next `>` lies within this region
+        if lang := _LANG.search(page, found.end(), at):
+            return lang[1].lower()
+    return ""
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -103,11 +151,11 @@ def evidence(pages: DataFrame, logs: np.ndarray) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [text_evidence(h.as_py(), shared.value) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "declared")), pa.array(found, pa.list_(pa.float64()))], ["page_id", "url", "declared", "text"])
+            bodies = batch.column("html").to_pylist()
+            found = [text_evidence(h, shared.value) for h in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([declared_language(h) for h in bodies], pa.string()), pa.array(found, pa.list_(pa.float64()))], ["page_id", "url", "declared", "text"])
 
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), declared.alias("declared"), "html").mapInArrow(scored, "page_id long, url string, declared string, text array<double>")
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), "html").mapInArrow(scored, "page_id long, url string, declared string, text array<double>")
     host = F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     code = F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     named = read.withColumn("host", host).withColumn("code", code)

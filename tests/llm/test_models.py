@@ -1,6 +1,8 @@
 """Toxicity, quality model and language identification: definitions by brute force, held-out accuracy, odd inputs."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -133,3 +135,67 @@ def test_language(spark, sf_small):
         assert found[-3] == "de"  # no text: the host decides
     assert language.identify(table.where("false"), docs).count() == 0
     assert {r.language for r in language.identify(table, docs.where("false")).collect()} == {None}
+
+
+PAGES = ["<p>a</p>", "a<!--x--><b>c", "<script>x</script  >y", "<STYLE a>x</style>y<sCript>z", "a < b > c", "<!-- x", "<!-- <b> c -->d<!-- e > f", "<<>>", "<scripty>x</script>", "<!---->a", "<!-->a-->", "a<script", "</style>a", "", "<", "x<script>a<!--b</script>c-->d"]
+
+
+def test_visible_text_equals_the_definition():
+    definition = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(3)
+    parts = ["<", ">", "<!--", "-->", "<script", "</script>", "<style>", "</style", " ", "x", "<b>", "--", "!"]
+    for page in [*PAGES, *["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]]:
+        assert language.unmarked(page) == definition.sub(" ", page), page
+
+
+def test_declared_language_equals_the_definition():
+    definition = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
+    rng = random.Random(4)
+    parts = ["<html", " ", "lang", "=", "'", "en", ">", "xml:", "DE", "<HTML", "l"]
+    for page in ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(5000)]:
+        found = definition.search(page)
+        assert language.declared_language(page) == (found[1].lower() if found else ""), page
+
+
+@pytest.mark.parametrize("mark", ["<!--", "<script", "<style>", "<html", "<", "<html lang", "&", "</script", "<!-- >", "<script>x>"])
+def test_hostile_pages_take_linear_time(mark):
+    page = mark * (1_000_000 // len(mark))
+    began = time.perf_counter()
+    language.visible(page), language.declared_language(page)
+    assert time.perf_counter() - began < 3
+
+
+def test_posterior_equals_brute_force(spark):
+    """The whole fusion again in plain numbers, from the text evidence on."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(lang, " ".join(rng.choice(words) for _ in range(60))) for lang, words in (("de", ["der", "und", "nicht"]), ("en", ["the", "and", "not"]), ("fr", ["le", "et", "pas"])) for _ in range(5)], "lang string, text string")
+    hosts = ["a.x.de", "b.x.de", "c.en", "d.fr", "www.d.fr"]
+    rows = []
+    for i in range(60):
+        url = rng.choice((None, "nonsense", f"https://{rng.choice(hosts)}/{rng.choice(('de', 'en', 'page', ''))}/p"))
+        rows.append((i, url, f"<html{rng.choice(('', ' lang=de', ' lang=en-GB'))}><p>{' '.join(rng.choice(('der', 'the', 'le', 'und', 'and')) for _ in range(rng.randint(0, 4)))}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.identify(pages, docs).collect()}
+    names, logs = language.fit_text(docs)
+    pick = lambda pattern, url: (m[1] if (m := re.search(pattern, url or "")) else "").lower()
+    seen = []
+    for i, url, page in rows:
+        text = np.array(language.text_evidence(page, logs))
+        host = pick(r"^[a-z]+://([^/]*)", url)
+        soft = np.exp(text - np.logaddexp.reduce(text))
+        seen.append({"id": i, "text": text, "soft": soft, "host": host, "domain": ".".join(host.split(".")[-2:]), "suffix": host.split(".")[-1], "code": pick(r"^[a-z]+://[^/]*/([a-z]{2})(?:/|$)", url), "declared": language.declared_language(page)})
+    whole = sum(s["soft"] for s in seen)
+    for s in seen:
+        mass = lambda field: sum(o["soft"] for o in seen if o[field] == s[field])  # noqa: B023, E731
+        logs_of = s["text"].copy()
+        for field in ("declared", "suffix", "code"):
+            values = len({o[field] for o in seen})
+            logs_of += np.log((mass(field) + 0.5) / (whole + 0.5 * values))
+        base = (whole - s["soft"] + 1) / ((whole - s["soft"]).sum() + len(names))
+        domain = mass("domain") - s["soft"]
+        prior = (domain + 10 * base) / (domain.sum() + 10)
+        host = mass("host") - s["soft"]
+        logs_of += np.log((host + 10 * prior) / (host.sum() + 10))
+        posterior = np.exp(logs_of - np.logaddexp.reduce(logs_of))
+        assert got[s["id"]].language == names[int(posterior.argmax())]
+        assert got[s["id"]].confidence == pytest.approx(posterior.max(), abs=2e-6)
