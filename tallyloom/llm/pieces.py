@@ -7,6 +7,11 @@ a partial path's priority is the score of any completion of it, so paths come ou
 path outside the best N is completed. Pending paths beyond the N best can never be among the
 results and are left out, so memory grows with the text, not with the number of segmentations.
 
+Scores are log-probabilities of pieces. A vocabulary of merges has ranks instead, from the most to the
+least frequent; these become Zipf's law, log(1 / (rank + 1)) less the log of the sum over all pieces. So
+scores follow from the file alone: nothing is trained, and ids do not depend on the corpus. Texts are
+encoded as they are, with a leading space and no other normalisation.
+
 A text is cut where no piece can span: before a word-start mark that follows another character,
 and between characters that are adjacent in no piece. All paths pass these positions, so the best
 segmentation of the text joins the best ones of its parts, and the N best are found by merging the
@@ -23,6 +28,7 @@ are not read. Ids that are no piece decode to nothing.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from array import array
 from bisect import insort
@@ -60,6 +66,15 @@ Edge = tuple[int, tuple[int, ...], float]  # start, ids, score
 Best = tuple[float, bytes, float]  # score and int32 ids of the best path, loss of the second best
 
 
+def log_probabilities(scores: list[float]) -> list[float]:
+    """`scores` as they are, or by Zipf's law if they are ranks (whole numbers, the most frequent first)."""
+    if any(s != int(s) for s in scores):
+        return scores
+    total = sum(1 / (i + 1) for i in range(len(scores)))
+    rank = {i: k for k, i in enumerate(sorted(range(len(scores)), key=lambda i: (-scores[i], i)))}
+    return [-math.log((rank[i] + 1) * total) for i in range(len(scores))]
+
+
 class Pieces:
     """A vocabulary with scores, from the bytes of a SentencePiece model file."""
 
@@ -67,7 +82,10 @@ class Pieces:
         m = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = m.get_piece_size()
         self.n_best = n_best
-        self.scores = [m.get_score(i) for i in range(n)]
+        plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        self.scores = [0.0] * n
+        for i, score in zip(plain, log_probabilities([m.get_score(i) for i in plain]), strict=True):
+            self.scores[i] = score
         self.ids: dict[str, int] = {}
         self.table: list[bytes] = [b""] * n
         self.byte_ids: dict[int, int] = {}
@@ -76,9 +94,9 @@ class Pieces:
             if m.is_byte(i):
                 self.byte_ids[int(piece[1:-1], 16)] = i
                 self.table[i] = bytes([int(piece[1:-1], 16)])
-            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-                self.ids[piece] = i
-                self.table[i] = piece.replace(MARK, " ").encode()
+        for i in plain:
+            self.ids[m.id_to_piece(i)] = i
+            self.table[i] = m.id_to_piece(i).replace(MARK, " ").encode()
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.fallback = min((self.scores[i] for i in self.ids.values()), default=0.0) - FALLBACK_COST
         # a node of the tree of pieces: [children by character, ids or None, score]
@@ -170,7 +188,7 @@ class Pieces:
             while at:
                 taken = None
                 for i, ids, s in ends[at]:
-                    behind = best[at] - best[i] - s
+                    behind = best[at] - (best[i] + s)  # exactly 0 on the best path
                     step = (i, score + s, (ids, suffix))
                     if taken is None and behind <= 0:
                         taken = step

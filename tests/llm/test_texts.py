@@ -229,6 +229,34 @@ def test_n_best_equals_all_segmentations(vocabulary, text):
     assert len(seen) == len(ranked)
 
 
+def test_random_strings_equal_all_segmentations(vocabulary):
+    rng = random.Random(11)
+    alphabet = "aehinorst e.,'1é☃ "
+    for _ in range(150):
+        test_n_best_equals_all_segmentations(vocabulary, "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 11))))
+
+
+def test_scores_are_log_probabilities(vocabulary):
+    """Zipf's law from the file's ranks; a vocabulary that has log-probabilities keeps them."""
+    import math
+
+    assert sum(math.exp(vocabulary.scores[i]) for i in vocabulary.ids.values()) == pytest.approx(1.0)
+    assert pieces.log_probabilities([-1.5, -2.25]) == [-1.5, -2.25]
+    zero, one = pieces.log_probabilities([-7.0, 0.0])
+    assert one == pytest.approx(math.log(1 / 1.5)) and zero == pytest.approx(math.log(0.5 / 1.5))
+
+
+def test_common_words_are_not_cut(vocabulary):
+    """The library's own segmentation of the same file is met on plain words, with no more pieces."""
+    import numpy as np
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    text = "the quick brown fox jumps over the lazy dog and the software is a difficult problem of the world"
+    ids, _ = vocabulary.encode(text)
+    assert np.frombuffer(ids, "<i4").tolist() == library.encode(text)
+
+
 def test_round_trip_and_decode(spark):
     texts = [*ODD, "▁mark ▁▁ x", "tab\tnew\nline", "  two  ", "مرحبا 你好 🙂", "\x00\x7f"]
     done = pieces.encode(make(spark, list(enumerate(texts))).selectExpr("*", "1 AS ids", "2 AS k0"), queries.piece_model())
