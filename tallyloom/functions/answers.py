@@ -141,7 +141,7 @@ def unusable_template(options: Column, template: dict[str, str]) -> Column:
 
 
 def type_label(question_type: Column) -> Column:
-    #: Shown names of the question types.
+    # fixed values: shown names of the question types
     names = {"judgement": "判断题", "multi": "多选题", "single": "单选题", "fill": "填空题"}
     out = F.lit("")
     for kind, name in names.items():

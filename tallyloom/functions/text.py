@@ -129,12 +129,14 @@ def chinese_number(text: Column) -> Column:
 
 def normalize_sections(text: Column) -> Column:
     """Every known section header of a generated explanation on its own line, with one blank line before."""
+    # fixed values: the section names of an explanation
     names = "考点|标签|正确答案|干扰项分析|判断依据|易错点|拓展"
     s = F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
     s = F.regexp_replace(s, f"(?U)\\s*(\\*\\*(?:{names})\\*\\*)", "\n\n$1")
     return F.regexp_replace(F.regexp_replace(s, "\n{3,}", "\n\n"), "(?U)^\\s+|\\s+$", "")
 
 
+#: The label of an answer in its three forms.
 def labelled_answer(line: Column) -> Column:
     """Answer of `**答案**：X`, `**答案：X**` or `**答案**：X **`; null for other lines."""
     first = F.regexp_extract(line, "^\\*\\*\\s*答案\\s*\\*\\*\\s*[：:]\\s*(.+?)\\s*$", 1)
@@ -149,3 +151,31 @@ def valid_explanation(text: Column) -> Column:
 def already_enriched(explanation: Column) -> Column:
     """A line with the label 考点 and a colon directly after it."""
     return F.coalesce(explanation.rlike("(?m)^(>\\s*)?.*\\*\\*\\s*考点\\s*[：:]"), F.lit(False))
+
+
+#: Tags of a question bank and the words that earn them, in order.
+HISTORY_TAGS = [
+    ("鸦片战争", "鸦片战争"), ("南京条约", "《南京条约》"), ("马关条约", "《马关条约》"), ("辛丑条约", "《辛丑条约》"), ("北京条约", "《北京条约》"),
+    ("太平天国", "太平天国|洪秀全"), ("洋务运动", "洋务"), ("戊戌维新", "戊戌|维新"), ("辛亥革命", "辛亥革命|孙中山"), ("中共党史", "中共[一大二三四大五六七大]"),
+    ("国共合作", "国共合作|统一战线"), ("南昌起义", "南昌起义"), ("秋收起义", "秋收起义"), ("长征", "长征|遵义会议"), ("抗日战争", "抗日战争|抗日|九一八|七七"),
+    ("解放战争", "解放战争|三大战役"), ("新文化运动", "新文化运动"), ("五四运动", "五四运动"), ("半殖民地半封建", "半殖民地半封建"),
+]
+PARTY_TAGS = [
+    ("党的指导思想", "党的指导思想|马克思列宁主义|毛泽东思想|邓小平理论|三个代表|科学发展观|习近平新时代中国特色社会主义思想"), ("党章知识", "党章|党员的[权利义务]|党的[中央基层纪律]组织|民主集中制"),
+    ("党的性质宗旨", "党的性质|党的宗旨|先锋队|全心全意为人民服务"), ("党史重大事件", "南昌起义|秋收起义|长征|遵义会议|中共[一大二大三四十大]"), ("抗日战争", "抗日战争|九一八|七七事变|抗日民族统一战线"),
+    ("解放战争", "解放战争|三大战役"), ("改革开放", "改革开放|经济特区|社会主义市场经济"), ("新时代", "新时代|中国梦|中华民族伟大复兴|两个一百年"), ("一国两制", "一国两制|港人治港|澳人治澳"),
+    ("社会主义初级阶段", "社会主义初级阶段|基本路线|基本纲领"),
+]
+MILITARY_TAGS = [
+    ("国防", "国防|国防动员|国防法规|国防类型"), ("国家安全", "国家安全|周边安全"), ("毛泽东军事思想", "毛泽东军事思想|人民战争"), ("武装力量", "武装力量|解放军|预备役|民兵"), ("现代战争", "现代战争|信息化战争|精确制导"),
+    ("孙子兵法", "孙子兵法|孙武"), ("军事技术", "激光|雷达|导弹|航天|电子战|核生化|C4ISR"), ("战略战术", "战略|战术|作战理论"), ("党史军史", "南昌起义|秋收起义|建军节|中央军委"), ("法律法规", "国防法|兵役法|国防教育法"),
+]
+KIND_TAGS = (("multi", "多选题"), ("judgement", "判断题"), ("single", "单选题"), ("fill", "填空题"))
+
+
+def question_tags(kind: Column, stem: Column, explanation: Column, rules: list[tuple[str, str]], title: Column | None = None) -> Column:
+    """Tags of a question: its chapter (from the group's title), its kind, those named in the explanation, those by rules; each once."""
+    chapter = F.coalesce(*[F.nullif(F.regexp_extract(title, f"第([一二三四五六七八九十]+){unit}", 1), F.lit("")) for unit in "套章"]) if title is not None else F.lit(None).cast("string")
+    own = [F.concat(F.lit("第"), chapter, F.lit("章")), *[F.when(kind == k, F.lit(name)) for k, name in KIND_TAGS]]
+    text = F.concat_ws(" ", stem, explanation)
+    return F.array_distinct(F.concat(F.array_compact(F.array(*own)), explicit_tags(explanation), match_tags(text, rules)))

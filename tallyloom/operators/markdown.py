@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import answers
-from tallyloom.functions.text import clean_stem, labelled_answer
+from tallyloom.functions.text import chinese_number, clean_stem, labelled_answer
 
 
 def lines_of(files: DataFrame, name: str = "file", text: str = "text") -> DataFrame:
@@ -84,6 +84,129 @@ def rejected(typed: DataFrame) -> DataFrame:
     return typed.where("kind = 'skip'").withColumn("reason", F.lit("unrecognized-answer"))
 
 
+#: Headers of questions, and the spec of the files: patterns of the sections that count and the suffixes of their groups.
+BOLD_HEADER = "^\\*\\*\\s*(\\d+)\\s*[.、]\\s*(.+?)\\s*\\*\\*\\s*$"
+PRIORITY_SECTIONS = [("^##\\s+第一优先级", "p1"), ("^##\\s+第二优先级", "p2"), ("^##\\s+第三优先级", "p3"), ("^##\\s+第四优先级", "p4")]
+KIND_SECTIONS = [("^##\\s+单选题[（(]党史[）)]", "single"), ("^##\\s+多选题[（(]党史[）)]", "multi"), ("^##\\s+判断题[（(]党史[）)]", "judge")]
+PART_SECTIONS = [("^##\\s+第一部分", "pdf-single"), ("^##\\s+第二部分", "pdf-multi"), ("^##\\s+第三部分", "pdf-judge")]
+CHAPTER = "^##\\s+([一二三四五六七八九十]+)、\\s*(.+?)\\s*$"
+PLACEHOLDERS = {"B": "国家", "C": "军队", "D": "政府", "E": "人民"}
+
+
+def tracked_blocks(lines: DataFrame, sections: list[tuple[str, str]], header: str = BOLD_HEADER, chapters: bool = False) -> DataFrame:
+    """(file, group, section_no, part, header, body): question blocks of the sections that count; the others are skipped.
+
+    `sections` are (pattern, suffix of the group); with `chapters`, numbered chapters count too. A block ends at the
+    next question, section or rule, and what follows a rule belongs to no block.
+    """
+    line = F.trim("raw")
+    section = line.rlike("^##\\s+")
+    group = F.lit("")
+    for pattern, suffix in reversed(sections):
+        group = F.when(line.rlike(pattern), suffix).otherwise(group)
+    if chapters:
+        number = chinese_number(F.regexp_extract(line, CHAPTER, 1))
+        group = F.when(line.rlike(CHAPTER) & number.between(1, 18), F.concat(F.lit("ch"), number.cast("string"))).otherwise(group)
+    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(section, "section").when(line.rlike(header), "question").when(line == "---", "rule")
+    marked = lines.select("file", "line_no", line.alias("line"), mark.alias("mark"), F.when(section, group).alias("group"))
+    placed = marked.select(
+        "file", "line_no", "line", "mark", F.last("group", ignorenulls=True).over(order).alias("group"), F.last("mark", ignorenulls=True).over(order).alias("state"),
+        F.count_if(F.col("mark") == "section").over(order).alias("section_no"), F.count("mark").over(order).alias("part"),
+    )
+    inside = placed.where("state = 'question' AND group <> ''")
+    rows = F.array_sort(F.collect_list(F.when(F.col("mark").isNull(), F.struct("line_no", "line"))))
+    found = inside.groupBy("file", "group", "section_no", "part").agg(F.max(F.when(F.col("mark") == "question", F.col("line"))).alias("header"), rows.alias("rows"))
+    return found.select("file", "group", "section_no", "part", "header", F.transform("rows", lambda r: r["line"]).alias("body"))
+
+
+def bold_questions(found: DataFrame, variant: str) -> DataFrame:
+    """Questions of `tracked_blocks`, numbered within their section; blocks without a usable answer are left out.
+
+    Variants `party` and `military` differ in the answers they know; `military` also takes fill-ins and leaves out
+    questions with placeholder options.
+    """
+    body, trim_end = F.col("body"), lambda c: F.regexp_replace(c, "\\s+$", "")
+    answer = "^\\*\\*答案\\*\\*\\s*[:：]\\s*(.+?)\\s*$"
+    place = lambda lines, pattern: F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True), F.lit(0)).cast("int")
+    upto = lambda lines, at: F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
+    rows = found.withColumn("at", place(body, answer)).where("at > 0")
+    rows = rows.withColumns({"raw": F.trim(F.regexp_extract(F.get("body", F.col("at") - 1), answer, 1)), "before": F.filter(upto(body, F.col("at")), lambda x: x != ""), "after": F.slice(body, F.col("at") + 1, F.size(body))})
+    rows = rows.withColumn("after", upto(F.col("after"), place(F.col("after"), "^\\*\\*答案")))
+    option = "^[A-J][.、）)]"
+    parts = F.flatten(F.transform(F.filter("before", lambda x: x.rlike(option)), lambda x: F.filter(F.transform(F.split(x, "(?=[A-J][.、）)])"), lambda p: F.trim(p)), lambda p: p.rlike(option if variant == "party" else "^[A-J][.、)]"))))
+    read = F.array_compact(F.transform(parts, lambda p: answers.parse_option(p)))
+    first = F.filter(read, lambda o, i: F.array_position(F.transform(read, lambda x: x["key"]), o["key"]) == i + 1)
+    told = "^\\*\\*解析\\*\\*\\s*[:：]\\s*(.*)$"
+    at_told = place(F.col("after"), told)
+    long = trim_end(F.regexp_replace(F.concat_ws("\n", F.trim(F.regexp_extract(F.get("after", at_told - 1), told, 1)), F.array_join(F.slice("after", at_told + 1, F.size("after")), "\n")), "\n{3,}", "\n\n"))
+    short = F.array_join(F.transform(F.filter("after", lambda x: x != ""), lambda x: F.regexp_replace(x, "^\\*\\*(.+?)\\*\\*$", "$1")), "\n")
+    words = F.concat(F.array(F.regexp_extract("header", BOLD_HEADER, 2)), upto(F.col("before"), place(F.col("before"), option)))
+    rows = rows.select("file", "group", "section_no", "part", "raw", F.trim(F.regexp_replace(F.array_join(words, " "), "(?U)\\s+", " ")).alias("stem"), first.alias("read"), F.trim(F.when(at_told > 0, long).otherwise(short)).alias("explanation"))
+    rows = rows.withColumn("typed", answers.detect_answer(F.col("raw"), F.col("read"), variant=variant))
+    kind, normalized, options = F.col("typed.kind"), F.col("typed.normalized"), F.col("read")
+    known = F.forall(F.filter(F.split(normalized, ""), lambda k: k != ""), lambda k: F.exists(options, lambda o: o["key"] == k))
+    usable = (kind != "skip") & (~kind.isin("single", "multi") | known)
+    usable = usable & ((F.size(options) >= 2) if variant == "party" else (F.size(options) >= 2) | kind.isin("judgement", "fill"))
+    usable = usable & (F.lit(True) if variant == "party" else ~answers.unusable_template(options, PLACEHOLDERS))
+    yes, no = (F.get(F.filter(options, lambda o, p=p: o["text"].rlike(p)), F.lit(0)) for p in ("^(正确|对)$", "^(错误|错)$"))
+    own = yes.isNotNull() & no.isNotNull()
+    judged = normalized == answers.RIGHT
+    key = F.when(kind != "judgement", normalized).when(own, F.when(judged, yes["key"]).otherwise(no["key"])).otherwise(F.when(judged, "A").otherwise("B"))
+    text = F.when(kind.isin("judgement", "fill"), normalized).otherwise(answers.answer_text(options, normalized))
+    shown = F.when((kind == "judgement") & ~own, answers.judgement_options()).otherwise(options)
+    number = F.row_number().over(Window.partitionBy("file", "section_no").orderBy("part")).cast("bigint")
+    good = rows.where(usable)
+    return good.select("file", "group", number.alias("number"), "stem", shown.alias("options"), kind.alias("kind"), key.alias("answer_key"), text.alias("answer_text"), "explanation")
+
+
+def scoped_blocks(lines: DataFrame, header: str, boundary: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(file, header_line, body_start, body_end) of the questions in scope; a body ends at the next boundary or the file's end.
+
+    The scope opens at a line that matches `start` and closes at one that matches `end`; without `start` it is the whole file.
+    """
+    line, never = F.col("raw"), F.lit(False)
+    opens, closes = (line.rlike(start) if start else never), (line.rlike(end) if end else never)
+    order = Window.partitionBy("file").orderBy("line_no")
+    scope = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first(F.when(line.rlike(boundary), F.col("line_no")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    size = F.max("line_no").over(Window.partitionBy("file")) + 1
+    placed = lines.select("file", "line_no", (F.coalesce(scope, F.lit(start is None)) & ~opens & ~closes & line.rlike(header)).alias("asked"), F.coalesce(following, size).alias("body_end"))
+    return placed.where("asked").select("file", F.col("line_no").alias("header_line"), (F.col("line_no") + 1).alias("body_start"), "body_end")
+
+
+def bare_options(lines: DataFrame) -> DataFrame:
+    """(mode, text): the distinct options without a note, by the kind of exercise they are in."""
+    line = F.trim("raw")
+    mode = F.when(line.contains("给假名选汉字"), "kana-to-kanji").when(line.contains("给汉字选假名"), "kanji-to-kana")
+    pattern = "^-\\s+[A-D][.\\s]+(.+?)(?:\\s*✅)?\\s*$"
+    rows = lines.select(running(mode).alias("mode"), line.alias("line"), mode.isNotNull().alias("is_mode"))
+    kept = rows.where(~F.col("is_mode") & F.col("mode").isNotNull() & F.col("line").rlike(pattern) & ~F.col("line").contains("【"))
+    return kept.select("mode", F.trim(F.regexp_extract("line", pattern, 1)).alias("text")).distinct()
+
+
+def word_problems(entries: DataFrame) -> DataFrame:
+    """(file, lesson, entry, sub, reason) of the entries and sub-questions of `word_entries` that cannot be used.
+
+    An entry has two sub-questions; each has four different options of which one is marked.
+    """
+    per = Window.partitionBy("file", "lesson", "entry")
+    rows = entries.withColumn("subs", F.count("*").over(per)).withColumn("label", F.when(F.row_number().over(per.orderBy("sub")) == 1, "A").otherwise("B"))
+    texts = F.transform("options", lambda o: o["text"])
+    reason = F.when(F.size("options") != 4, F.concat(F.lit("options="), F.size("options").cast("string"))).when(F.size(F.array_distinct(texts)) < F.size(texts), "equal options").when(F.coalesce("answer", F.lit("")) == "", "no answer")
+    whole = rows.where("subs <> 2").select("file", "lesson", "entry", F.lit(None).cast("string").alias("sub"), F.concat(F.lit("sub-questions="), F.col("subs").cast("string")).alias("reason")).distinct()
+    single = rows.where("subs = 2").select("file", "lesson", "entry", F.col("label").alias("sub"), reason.alias("reason")).where("reason IS NOT NULL")
+    return whole.unionByName(single)
+
+
+def headings_of(report: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file, lesson, num, head, kanji): the heading of each skipped entry of `report`(file, lesson, num) and its Chinese characters."""
+    pattern = "^###\\s+(\\d+)\\.\\s+(.+)$"
+    heads = lines.where(F.col("raw").rlike(pattern)).groupBy("file", F.regexp_extract("raw", pattern, 1).cast("bigint").alias("num")).agg(F.min_by(F.regexp_extract("raw", pattern, 2), "line_no").alias("title"))
+    head = F.trim(F.regexp_extract("title", "^([^（(—]*)", 1))
+    return report.join(heads, ["file", "num"]).select("file", "lesson", "num", head.alias("head"), F.regexp_replace(head, "[^一-鿿]", "").alias("kanji"))
+
+
 def passages(lines: DataFrame, question: str = "^###\\s+第(\\d+)题", article: str = "^(\\*\\*文章[：:]\\*\\*|###\\s+文章[（(].*)$", section: str = "^##\\s") -> DataFrame:
     """(file, number, passage): the passage that each question inherits: the last one before it in its section."""
     line = F.col("line")

@@ -1,16 +1,19 @@
 """Learning state folded from the attempt log.
 
 Normal mode has a closed form: mastery is 1 plus the run of correct answers since the last wrong one, at most
-5, and the first attempt of a question never counts as wrong. It needs grouped aggregates only, which
-fold before the shuffle, so a question with a third of all attempts is no large group. Redo mode has
-no closed form; `fold` keeps the attempts of a key in order and steps through them.
+5, and the first attempt of a question never counts as wrong. So grouped aggregates and the last four
+attempts of a key tell its state; both fold before the shuffle, so a question with a third of all attempts
+is no large group. Redo mode has no closed form, but mastery has six values: any run of attempts is a map
+of six states with counters. `fold` sums up blocks of attempts to such maps and composes them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tallyloom.functions.numbers import round_half_up
 from tallyloom.functions.schedule import due_at, next_mastery, redo_mastery
 
 
@@ -24,12 +27,13 @@ def question_stats(attempts: DataFrame, *keys: str) -> DataFrame:
         (F.count_if(wrong) - F.when(F.min_by("is_correct", "place"), 0).otherwise(1)).cast("bigint").alias("wrong_count"),
         F.max_by("is_correct", "place").alias("last_correct"),
         F.max("created_at").alias("last_attempt_at"),
-        F.max(F.when(wrong, F.col("place"))).alias("last_wrong"),
     )
-    since = attempts.join(first.select(*keys, "last_wrong"), list(keys)).where(F.col("last_wrong").isNull() | (F.col("place") > F.col("last_wrong")))
-    run = since.groupBy(*keys).agg(F.count("*").alias("run"))
-    mastery = F.least(F.lit(5).cast("bigint"), F.coalesce("run", F.lit(0)) + 1)
-    return first.join(run, list(keys), "left").select(
+    # Spark keeps the four last attempts of each key in every task before the shuffle
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("place")))
+    recent = attempts.select(*keys, "place", "is_correct").withColumn("back", back).where("back <= 4")
+    run = recent.groupBy(*keys).agg((F.coalesce(F.min(F.when(wrong, F.col("back"))) - 1, F.count("*"))).alias("run"))
+    mastery = (F.col("run") + 1).cast("bigint")
+    return first.join(run, list(keys)).select(
         *keys,
         "attempt_count",
         "correct_count",
@@ -42,34 +46,68 @@ def question_stats(attempts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def step(state: Column, attempt: Column) -> Column:
-    """State after one attempt: struct(attempts, correct, wrong, mastery); `attempt` has is_correct and redo."""
-    ok, redo, known = attempt["is_correct"], F.coalesce(attempt["redo"], F.lit(False)), state["attempts"] > 0
-    mastery = F.when(known & redo & ok, redo_mastery(state["mastery"])).when(known, next_mastery(state["mastery"], ok)).when(ok, F.when(redo, 3).otherwise(2)).otherwise(1)
-    wrong = F.when(redo & ok, 0).when(known & ~ok, state["wrong"] + 1).otherwise(state["wrong"])
+#: Attempts, or summaries, that are put together at once.
+BLOCK = 1024
+
+
+def _empty() -> Column:
+    """Summary of no attempts: every mastery stays (0: no attempt yet)."""
+    zero = F.lit(0).cast("bigint")
+    return F.struct(F.array(*[F.lit(m).cast("bigint") for m in range(6)]).alias("mastery"), F.lit(False).alias("reset"), zero.alias("wrong"), zero.alias("first_wrong"), zero.alias("attempts"), zero.alias("correct"))
+
+
+def _step(run: Column, attempt: Column) -> Column:
+    """Summary of a run of attempts and the next one.
+
+    mastery: that after the run for each one before it. wrong: wrong answers since the last reset, the first
+    attempt included; first_wrong: whether that one was wrong, which does not count for a new question.
+    """
+    ok, redo = attempt["is_correct"], F.coalesce(attempt["redo"], F.lit(False))
+    after = lambda m: F.when(m == 0, F.when(~ok, 1).when(redo, 3).otherwise(2)).when(redo & ok, redo_mastery(m)).otherwise(next_mastery(m, ok)).cast("bigint")
+    return F.struct(
+        F.transform(run["mastery"], after).alias("mastery"),
+        (run["reset"] | (redo & ok)).alias("reset"),
+        F.when(redo & ok, F.lit(0).cast("bigint")).otherwise(run["wrong"] + (~ok).cast("bigint")).alias("wrong"),
+        F.when(run["attempts"] == 0, (~ok).cast("bigint")).otherwise(run["first_wrong"]).alias("first_wrong"),
+        (run["attempts"] + 1).alias("attempts"),
+        (run["correct"] + ok.cast("bigint")).alias("correct"),
+    )
+
+
+def _then(run: Column, later: Column) -> Column:
+    """Summary of two runs, one after the other."""
     return F.struct(
-        (state["attempts"] + 1).alias("attempts"),
-        (state["correct"] + ok.cast("bigint")).alias("correct"),
-        wrong.cast("bigint").alias("wrong"),
-        mastery.cast("bigint").alias("mastery"),
+        F.transform(run["mastery"], lambda m: F.get(later["mastery"], m.cast("int"))).alias("mastery"),
+        (run["reset"] | later["reset"]).alias("reset"),
+        F.when(later["reset"], later["wrong"]).otherwise(run["wrong"] + later["wrong"]).alias("wrong"),
+        F.when(run["attempts"] == 0, later["first_wrong"]).otherwise(run["first_wrong"]).alias("first_wrong"),
+        (run["attempts"] + later["attempts"]).alias("attempts"),
+        (run["correct"] + later["correct"]).alias("correct"),
     )
 
 
 def fold(attempts: DataFrame, *keys: str) -> DataFrame:
     """State of every key after its attempts in order; attempts may be in redo mode (column `redo`).
 
-    The attempts of a key meet in one row: for keys of bounded history, such as (learner, question).
+    Attempts are sorted by ranges of (key, place), so that those of a hot key spread over tasks, and cut into
+    blocks; summaries of blocks are composed in the same way. No row holds more than `BLOCK` of either below the top.
     """
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("attempts"), zero.alias("correct"), zero.alias("wrong"), zero.alias("mastery"))
-    log = F.array_sort(F.collect_list(F.struct("place", "is_correct", "redo", "created_at")))
-    folded = attempts.groupBy(*keys).agg(log.alias("log")).select(*keys, F.aggregate("log", start, step).alias("s"), F.element_at("log", -1).alias("last"))
-    return folded.select(
+    last = F.struct("place", "is_correct", "created_at")
+    sorted_rows = attempts.select(*keys, "place", "is_correct", "redo", "created_at").repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "place")
+    blocks = sorted_rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1))
+    log = F.array_sort(F.collect_list(F.struct("place", "is_correct", "redo")))
+    runs = blocks.groupBy(*keys, "block").agg(F.aggregate(log, _empty(), _step).alias("run"), F.max(last).alias("last"))
+    for top in (False, True):
+        level = [] if top else [F.shiftright("block", BLOCK.bit_length() - 1).alias("block")]
+        parts = F.array_sort(F.collect_list(F.struct("block", "run")))
+        runs = runs.groupBy(*keys, *level).agg(F.aggregate(parts, _empty(), lambda run, x: _then(run, x["run"])).alias("run"), F.max("last").alias("last"))
+    counted = F.when(F.col("run.reset"), F.col("run.wrong")).otherwise(F.col("run.wrong") - F.col("run.first_wrong"))
+    return runs.select(
         *keys,
-        F.col("s.attempts").alias("attempt_count"),
-        F.col("s.correct").alias("correct_count"),
-        F.col("s.wrong").alias("wrong_count"),
-        F.col("s.mastery").alias("mastery"),
+        F.col("run.attempts").alias("attempt_count"),
+        F.col("run.correct").alias("correct_count"),
+        counted.alias("wrong_count"),
+        F.get("run.mastery", F.lit(0)).alias("mastery"),
         F.col("last.is_correct").alias("last_correct"),
         F.col("last.created_at").alias("last_attempt_at"),
     )
@@ -135,3 +173,18 @@ def latest_answers(answers: DataFrame) -> DataFrame:
 def session_totals(answers: DataFrame) -> DataFrame:
     """Answered, correct and wrong questions of each session after corrections."""
     return latest_answers(answers).groupBy("session_id").agg(F.count("*").alias("answered"), F.count_if("is_correct").alias("correct"), F.count_if(~F.col("is_correct")).alias("wrong"))
+
+
+def append(log: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Imported rows after those at hand, repeats kept; columns that one side lacks are null."""
+    return log.unionByName(fresh, allowMissingColumns=True)
+
+
+def clear(tables: dict[str, DataFrame], session_key: str = "activeSession") -> dict[str, DataFrame]:
+    """Every table empty, but the settings, which lose only the running session."""
+    return {name: rows.where(F.col("key") != session_key) if name == "settings" else rows.limit(0) for name, rows in tables.items()}
+
+
+def session_accuracy(totals: DataFrame) -> DataFrame:
+    """`totals` of sessions with `accuracy`, null for a session without answers."""
+    return totals.withColumn("accuracy", F.when(F.col("answered") > 0, round_half_up(F.col("correct") / F.col("answered") * 100)))

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from tallyloom.functions import answers, text
 from tallyloom.operators import markdown, quality, retrieval, state
-from tallyloom.plans.learning import NOW, ranked
+from tallyloom.operators.ordering import ranked
+from tallyloom.plans.learning import NOW
 from tallyloom.sources import banks
 from tallyloom.sources.tables import ATTEMPTS_SQL, MODEL_SQL, QUESTIONS_SQL, attempts, questions, table
 
@@ -182,10 +183,9 @@ def answer_conflicts(spark, sf):
     return quality.answer_agreement(questions(spark, sf), F.col("group_id"))
 
 
-@query("dup_report", f"WITH {QUESTIONS_SQL}, {KEYED_SQL} SELECT key, count(*) AS copies, string_agg(id || '@' || group_id, ';' ORDER BY position) AS members FROM keyed GROUP BY key HAVING count(*) > 1")
+@query("dup_report", f"WITH {QUESTIONS_SQL}, {KEYED_SQL} SELECT key, count(*) OVER (PARTITION BY key) AS copies, position, id, group_id FROM keyed QUALIFY copies > 1")
 def dup_report(spark, sf):
-    members = F.array_join(F.transform("members", lambda m: F.concat_ws("@", m["id"].cast("string"), m["group_id"])), ";")
-    return quality.duplicate_report(questions(spark, sf)).select("key", "copies", members.alias("members"))
+    return quality.duplicate_report(questions(spark, sf))
 
 
 def bank_rules():
@@ -289,7 +289,7 @@ TREE = [("root", None), ("course", "root"), ("history", "course"), ("modern", "h
 
 @query("course_tree", "WITH RECURSIVE t(key, parent) AS (VALUES " + ", ".join(f"('{k}', {repr(p) if p else 'NULL'})" for k, p in TREE) + "), a AS (SELECT key, parent AS ancestor, 1 AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT a.key, t.parent, up + 1 FROM a JOIN t ON a.ancestor = t.key WHERE t.parent IS NOT NULL) SELECT * FROM a")
 def course_tree(spark, sf):
-    return retrieval.ancestors(spark.createDataFrame(TREE, "key string, parent string"), levels=4)
+    return retrieval.ancestors(spark.createDataFrame(TREE, "key string, parent string"))
 
 
 @query("session_gate", f"SELECT user_id, age <= 24 AND n > 0 AND (n - 1) % 7 + 1 < 7 AS in_progress FROM (SELECT user_id, (epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 3600 - 96 AS age, count(*) AS n FROM events GROUP BY user_id)")
@@ -355,16 +355,20 @@ def stream_tokens(spark, sf):
     return banks.stream_text(chunks.select("stream", (F.col("turn") * 10 + F.col("i")).alias("at"), "chunk"))
 
 
+FILE = "p_brand || '/' || cast(floor(p_partkey / 500) AS string)"
+FILE_SQL = "p_brand || '/' || (p_partkey // 500)"
+
+
 def markdown_files(spark, sf):
-    """Each part as a block of a Markdown file; one file for each brand."""
+    """Each part as a block of a Markdown file; a file holds the parts of a brand among 500 keys, so files grow in number."""
     block = F.expr("'### ' || p_partkey || '. ' || p_name || '\n' || 'A. ' || p_brand || '\nB、' || p_type || ' C、x D、y\n**答案**：' || CASE WHEN p_partkey % 3 = 0 THEN 'CA' WHEN p_partkey % 3 = 1 THEN 'B' ELSE '?' END || '\nbecause ' || p_size")
-    part = table(spark, sf, "part").select(F.col("p_brand").alias("file"), "p_partkey", block.alias("block"))
+    part = table(spark, sf, "part").select(F.expr(FILE).alias("file"), "p_partkey", block.alias("block"))
     return part.groupBy("file").agg(F.concat(F.lit("# t\n## 第1章\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "block"))), lambda r: r["block"]), "\n")).alias("text"))
 
 
 @query(
     "parse_blocks",
-    """SELECT p_brand AS file, '第1章' AS section, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS block, p_name AS stem, 4 AS n_options,
+    f"""SELECT {FILE_SQL} AS file, '第1章' AS section, row_number() OVER (PARTITION BY {FILE_SQL} ORDER BY p_partkey) AS block, p_name AS stem, 4 AS n_options,
   CASE p_partkey % 3 WHEN 0 THEN 'multi' WHEN 1 THEN 'single' ELSE 'skip' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'B' ELSE '' END AS answer_key,
   CASE p_partkey % 3 WHEN 0 THEN p_brand || ' / x' WHEN 1 THEN p_type ELSE '' END AS answer_text, 'because ' || p_size AS explanation FROM part""",
 )
@@ -374,13 +378,13 @@ def parse_blocks(spark, sf):
     return found.select("file", "section", "block", "stem", F.size("options").alias("n_options"), "kind", "answer_key", "answer_text", "explanation")
 
 
-@query("passage_asof", "SELECT p_brand AS file, (p_partkey % 100000)::INTEGER AS number, 'text ' || (p_size - p_size % 10) AS passage FROM part")
+@query("passage_asof", f"SELECT {FILE_SQL} AS file, (p_partkey % 100000)::INTEGER AS number, 'text ' || (p_size - p_size % 10) AS passage FROM part")
 def passage_asof(spark, sf):
-    """Questions under a passage for each ten sizes of a brand."""
-    part = table(spark, sf, "part").withColumn("ten", F.col("p_size") - F.col("p_size") % 10)
-    groups = part.groupBy("p_brand", "ten").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("### 第"), (k % 100000).cast("string"), F.lit("题\n---"))), "\n").alias("asked"))
+    """Questions under a passage for each ten sizes of a file."""
+    part = table(spark, sf, "part").select(F.expr(FILE).alias("file"), "p_partkey", (F.col("p_size") - F.col("p_size") % 10).alias("ten"))
+    groups = part.groupBy("file", "ten").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("### 第"), (k % 100000).cast("string"), F.lit("题\n---"))), "\n").alias("asked"))
     piece = F.concat(F.lit("### 文章（"), F.col("ten").cast("string"), F.lit("）\ntext "), F.col("ten").cast("string"), F.lit("\n"), F.col("asked"))
-    files = groups.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ten", piece.alias("piece")))), lambda r: r["piece"]), "\n").alias("text"))
+    files = groups.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ten", piece.alias("piece")))), lambda r: r["piece"]), "\n").alias("text"))
     return markdown.passages(markdown.lines_of(files))
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom.functions import numbers, schedule
 from tallyloom.operators import analytics, scheduler, state, streaks
+from tallyloom.operators.ordering import ranked
 from tallyloom.sources.tables import ATTEMPTS_SQL, MODEL_SQL, QUESTIONS_SQL, attempts, questions, table
 
 #: Fixed dates of the fixture: its last day, and a time when some reviews are due and others not.
@@ -277,12 +277,6 @@ def review_queue(spark, sf):
     return ranked(queue, [F.desc("score"), F.asc("question_id")])
 
 
-def ranked(rows, order, limit: int | None = None):
-    """Global rank of a list that is shown whole: one number for each question."""
-    rows = rows.orderBy(*order).limit(limit) if limit else rows
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-
-
 @query("due_dates", f"{MODEL_SQL} SELECT question_id, review_due_at, review_due_at <= TIMESTAMP '{NOW}' AS due FROM stats")
 def due_dates(spark, sf):
     stats = state.question_stats(attempts(spark, sf))
