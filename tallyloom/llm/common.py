@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallyloom.sources.shared import checked_broadcast, materialize, shared_dir, table_bytes  # noqa: F401  used by the operators
 
 #: White space of the word contract: words are maximal runs of other characters.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 NOT_BLANK = "[^\\x20\\x09-\\x0D]"
 
-#: A side of a join is broadcast only when its measured bytes stay within this bound.
-BROADCAST_BYTES = 16 << 20
-#: Bytes that a row takes in a broadcast table beside its values.
-_ROW_BYTES = 32
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,56 +31,6 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
-@functools.cache
-def _own_dir() -> tempfile.TemporaryDirectory:
-    return tempfile.TemporaryDirectory(prefix="tallyloom-")  # removed when the process ends
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where none is set, a temporary one in local mode and an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own_dir().name
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _bytes(value: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        size = F.octet_length(value)
-    elif isinstance(kind, T.ArrayType):
-        fixed = isinstance(kind.elementType, (T.NumericType, T.BooleanType))
-        size = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0), lambda n, x: n + _bytes(x, kind.elementType).cast("int"))
-    elif isinstance(kind, T.StructType):
-        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
-    else:
-        size = F.lit(16 if isinstance(kind, T.DecimalType) else 0)
-    return 8 + F.coalesce(size, F.lit(0))
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Bytes that `df` takes in memory, about; reads it once."""
-    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(_ROW_BYTES))
-    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if its measured bytes are within `limit`; else as it is, for a shuffled join.
-
-    `df` should be cheap to read (a scan or a materialized table).
-    """
-    return F.broadcast(df) if table_bytes(df) <= limit else df
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to `rows` rows, so that what a task makes of them stays small too."""
     for batch in batches:
