@@ -149,7 +149,8 @@ def bold_questions(found: DataFrame, variant: str) -> DataFrame:
     usable = (kind != "skip") & (~kind.isin("single", "multi") | known)
     usable = usable & ((F.size(options) >= 2) if variant == "party" else (F.size(options) >= 2) | kind.isin("judgement", "fill"))
     usable = usable & (F.lit(True) if variant == "party" else ~answers.unusable_template(options, PLACEHOLDERS))
-    yes, no = (F.get(F.filter(options, lambda o, p=p: o["text"].rlike(p)), F.lit(0)) for p in ("^(正确|对)$", "^(错误|错)$"))
+    named = lambda pattern: F.get(F.filter(options, lambda o: o["text"].rlike(pattern)), F.lit(0))
+    yes, no = named("^(正确|对)$"), named("^(错误|错)$")
     own = yes.isNotNull() & no.isNotNull()
     judged = normalized == answers.RIGHT
     key = F.when(kind != "judgement", normalized).when(own, F.when(judged, yes["key"]).otherwise(no["key"])).otherwise(F.when(judged, "A").otherwise("B"))

@@ -38,7 +38,8 @@ def per_document(name: str, column, sql: str, source: str = "documents", key: st
 BLANK_SQL = "[\\s\\x{3000}\\x{00a0}]+"
 NORM_SQL = f"lower(regexp_replace(regexp_replace(text, '{BLANK_SQL}', '', 'g'), '[，。、；：！？\"\"''''（）()【】《》、,.;:!?''\"\\[\\]<>]', '', 'g'))"
 per_document("norm_key", lambda: text.norm_audit(F.col("text")), NORM_SQL)
-per_document("norm_key_parser", lambda: text.norm_parser(F.col("text")), f"lower(regexp_replace(regexp_replace(text, '{BLANK_SQL}', '', 'g'), '[，。、；：！？“”‘’\"\"''''（）()【】《》、,.;:!?\"''\\[\\]<>—－·…]', '', 'g'))")
+NORM_PARSER_SQL = f"lower(regexp_replace(regexp_replace(text, '{BLANK_SQL}', '', 'g'), '[，。、；：！？“”‘’\"\"''''（）()【】《》、,.;:!?\"''\\[\\]<>—－·…]', '', 'g'))"
+per_document("norm_key_parser", lambda: text.norm_parser(F.col("text")), NORM_PARSER_SQL)
 per_document("norm_key_markdown", lambda: text.norm_markdown(F.concat(F.lit("[来源：a.md] "), "text", F.lit("（ C ）"))), f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace('[来源：a.md] ' || text || '（ C ）', '{BLANK_SQL}', '', 'g'), '\\[来源[：:].*?\\]', '', 'g'), '[（(]\\s*[A-E]\\s*[)）]', '', 'g'), '[\\\\，。、；：！？\"\"''''（）()【】《》、,.;:!?''\"\\[\\]<>—\\-‐－]', '', 'g'))")
 per_document("truncate", lambda: text.truncate(F.col("text"), 40), "CASE WHEN length(text) <= 40 THEN text ELSE left(text, 40) || '…' END")
 MARKED = "'**' || source || '** *' || lang || '* `x` [y](z) ' || text"
