@@ -98,11 +98,11 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def apply_rules(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, the base counts, base_failed, llr_score and kept, for every row of `docs`."""
+def apply_rules(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS) -> DataFrame:
+    """Columns `keep`, the base counts, base_failed, llr_score and kept, for every row of `docs`; `buckets` as in the fit."""
     base = F.struct(*[c.alias(n) for n, c in base_columns(F.col("text")).items()])
     # a generated row: filters on its columns are not pushed below it, so nothing is computed twice
-    row = F.struct(base.alias("m"), ngram_buckets(F.col("text")).alias("grams"))
+    row = F.struct(base.alias("m"), ngram_buckets(F.col("text"), buckets).alias("grams"))
     measured = docs.select(*keep, F.inline(F.array(row)), ratios.select("ratios").scalar().alias("ratios"))
     scored = F.struct("m", ratio_score(F.col("grams"), F.col("ratios")).alias("llr_score"))
     measured = measured.select(*keep, F.inline(F.array(scored)))

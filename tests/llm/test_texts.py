@@ -42,6 +42,36 @@ def test_base_counts_equal_brute_force(spark):
         assert r.kept == (not r.base_failed and r.llr_score >= quality_rules.THRESHOLD)
 
 
+def test_llr_score_equals_brute_force(spark):
+    """Buckets, both smoothed multinomials and the mean ratio again, without Spark."""
+    from math import log
+
+    import regex
+    import xxhash
+
+    rng = random.Random(12)
+    vocabulary = [*"abcdefgh", "word-x", "Ünï", "漢字", "12.5", "!!"]
+    texts = ODD[:6] + [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    docs = make(spark, list(enumerate(texts))).withColumn("trusted", F.col("doc_id") % 3 == 0)
+    got = {r.doc_id: r.llr_score for r in quality_rules.apply_rules(docs, quality_rules.fit_ratios(docs, F.col("trusted"), buckets=64), threshold=0.0, buckets=64).collect()}
+
+    def grams(text):
+        hashes = [xxhash.xxh64_intdigest(t.encode(), 42) for t in regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x00-\x20]+", text or "")]
+        link = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+        return [h % 64 for h in [*hashes, *map(link, hashes, hashes[1:])]]
+
+    raw, target = [0] * 64, [0] * 64
+    for i, text in enumerate(texts):
+        for b in grams(text):
+            raw[b] += 1
+            target[b] += i % 3 == 0
+    scaled, k = sum(target) / sum(raw), quality_rules.SMOOTHING
+    ratios = [log((t + k) / (r * scaled + k)) for t, r in zip(target, raw, strict=True)]
+    for i, text in enumerate(texts):
+        found = grams(text)
+        assert got[i] == pytest.approx(sum(ratios[b] for b in found) / len(found) if found else 0.0)
+
+
 def test_ratio_rejects_what_the_target_lacks(spark):
     rng = random.Random(3)
     good, junk = [f"good{i}" for i in range(50)], [f"junk{i}" for i in range(50)]
