@@ -52,9 +52,17 @@ def stream_windows(spark, sf):
     return latest(drained(states.windowed_counts(states.attempt_stream(event_stream(spark, sf))), "update"), "start")
 
 
-QUERIES = {"stream_states": stream_states, "stream_tags": stream_tags, "stream_windows": stream_windows}
+def stream_sessions(spark, sf):
+    """Study sessions that are closed: those that end two days or more before the last event."""
+    return drained(states.sessions(states.attempt_stream(event_stream(spark, sf))), "append").drop("batch")
+
+
+QUERIES = {"stream_states": stream_states, "stream_tags": stream_tags, "stream_windows": stream_windows, "stream_sessions": stream_sessions}
 ORACLE_SQL = {
     "stream_states": f"{MODEL_SQL} SELECT {STATE_COLUMNS} FROM stats",
     "stream_tags": f"{MODEL_SQL} SELECT * FROM tag_stats",
     "stream_windows": f"WITH {ATTEMPTS_SQL} SELECT date_trunc('day', created_at) AS start, count(*) AS attempts, count(*) FILTER (is_correct) AS correct FROM attempts GROUP BY 1",
+    "stream_sessions": f"""WITH {ATTEMPTS_SQL}, g AS (SELECT *, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM attempts WINDOW w AS (PARTITION BY learner_id ORDER BY created_at, attempt_id)),
+s AS (SELECT learner_id, created_at, sum(fresh) OVER (PARTITION BY learner_id ORDER BY created_at, attempt_id) AS session FROM g)
+SELECT learner_id, min(created_at) AS start, count(*) AS attempts FROM s GROUP BY learner_id, session HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) - INTERVAL 2 DAY FROM attempts)""",
 }
