@@ -33,16 +33,21 @@ TOKEN = "[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\x00-\\x20]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Hashed token unigrams and bigrams of a text, as array<int>."""
+def neighbours(x: Column, step: int = 1) -> Column:
+    """Hashes of each element with the one `step` places after it, as array<bigint>."""
+    n = F.size(x) - step
+    return F.when(n > 0, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+
+def ngram_hashes(text: Column) -> Column:
+    """Hashes of the token unigrams and bigrams of a text, as array<bigint>."""
     hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    return let(hashes, lambda h: F.concat(h, neighbours(h)))
 
-    def grams(h: Column) -> Column:
-        n = F.size(h)
-        pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-        return F.transform(F.concat(h, F.coalesce(pairs, F.array().cast("array<bigint>"))), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
-    return let(hashes, grams)
+def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
+    """Hashed token unigrams and bigrams of a text, as array<int>."""
+    return F.transform(ngram_hashes(text), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
 def fit_ratios(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
@@ -61,17 +66,22 @@ def fit_ratios(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smoothi
     return materialize(one.select(F.when(F.col("all_target") > 0, F.transform("c", ratio)).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("ratios")), "ngram-ratios")
 
 
-def ratio_score(grams: Column, ratios: Column) -> Column:
-    """Mean log-likelihood ratio of n-gram buckets; 0 without n-grams."""
-    return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(ratios, b)) / F.size(grams)).otherwise(0.0)
+def ratio_score(grams: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
+    """Mean log-likelihood ratio of n-gram hashes; 0 without n-grams."""
+    return F.when(F.size(grams) > 0, F.aggregate(grams, F.lit(0.0), lambda acc, x: acc + F.get(ratios, F.pmod(x, F.lit(buckets)).cast("int"))) / F.size(grams)).otherwise(0.0)
 
 
 def repeated_words(all_words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of `window` words that occur twice or more in the text."""
+    """Words inside windows of `window` words, a power of two, that occur twice or more in the text."""
+
+    def joined(h: Column, step: int) -> Column:
+        return let(h, lambda x: neighbours(x, step))
 
     def windows(h: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
-        return F.when(F.size(h) >= window, hashed).otherwise(F.array().cast("array<bigint>"))
+        size = 1
+        while size < window:  # a window is named by its two halves
+            h, size = joined(h, size), 2 * size
+        return h
 
     def covered(w: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -102,9 +112,9 @@ def apply_rules(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD
     """Columns `keep`, the base counts, base_failed, llr_score and kept, for every row of `docs`; `buckets` as in the fit."""
     base = F.struct(*[c.alias(n) for n, c in base_columns(F.col("text")).items()])
     # a generated row: filters on its columns are not pushed below it, so nothing is computed twice
-    row = F.struct(base.alias("m"), ngram_buckets(F.col("text"), buckets).alias("grams"))
+    row = F.struct(base.alias("m"), ngram_hashes(F.col("text")).alias("grams"))
     measured = docs.select(*keep, F.inline(F.array(row)), ratios.select("ratios").scalar().alias("ratios"))
-    scored = F.struct("m", ratio_score(F.col("grams"), F.col("ratios")).alias("llr_score"))
+    scored = F.struct("m", ratio_score(F.col("grams"), F.col("ratios"), buckets).alias("llr_score"))
     measured = measured.select(*keep, F.inline(F.array(scored)))
     counts = F.col("m.counts")
     failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
