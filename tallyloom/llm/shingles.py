@@ -8,7 +8,7 @@ Method: texts with the same shingles fold into one node. Candidates share one of
 `ROWS` minima under random hashes each (a pair at 0.8 shares none with probability under 3 in 100,000),
 and the exact similarity of a candidate pair verifies it. Before that a pair must agree in size (fewer
 shingles at least `SIMILARITY` of more, exactly) and in `LEAST_EQUAL` of all minima, by one byte each (a pair
-at 0.8 fails with probability 1e-7). Each bucket first meets its least node; only nodes of a bucket that
+at 0.8 fails with probability 2e-6). A pair that shares several buckets is taken in the first of them only. Each bucket first meets its least node; only nodes of a bucket that
 are then still in different components are compared with each other, so a group of near copies costs
 its size, not its square.
 
@@ -35,7 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Minima that the sketches of a pair have in common at least, of BANDS * ROWS.
-LEAST_EQUAL = 46
+LEAST_EQUAL = 48
 _BLANK = bytes(32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 _draw = np.random.default_rng(42)
 _TIMES = _draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,19 +123,20 @@ def groups(docs: DataFrame, row: Column) -> DataFrame:
     buckets = materialize(members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least"), "shingle-buckets")
     members = materialize(members.join(checked_broadcast(buckets), "band"), "shingle-members")
     wanted = checked_broadcast(materialize(members.select("node").distinct(), "shingle-bucketed"))
-    traits = checked_broadcast(materialize(sketches.select("node", "minima", "n").join(wanted, "node").dropDuplicates(["node"]), "shingle-traits"))
-    of = lambda end, x, n: traits.select(F.col("node").alias(end), F.col("minima").alias(x), F.col("n").alias(n))
+    traits = checked_broadcast(materialize(sketches.select("node", "minima", "n", "bands").join(wanted, "node").dropDuplicates(["node"]), "shingle-traits"))
+    of = lambda end, x, n, bands: traits.select(F.col("node").alias(end), F.col("minima").alias(x), F.col("n").alias(n), F.col("bands").alias(bands))
     likely = _alike(F.col("x"), F.col("y"), F.col("n_x"), F.col("n_y"))
     first = members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    first = first.join(of("u", "x", "n_x"), "u").join(of("v", "y", "n_y"), "v").where(likely).select("u", "v")
+    first = first.join(of("u", "x", "n_x", "bands_x"), "u").join(of("v", "y", "n_y", "bands_y"), "v").where(likely).select("u", "v")
     edges = materialize(same.unionByName(near).unionByName(verified(docs, sketches, first, row)).where("u <> v").distinct(), "shingle-edges")
     # and among the nodes of a bucket that are still apart
     placed = materialize(_rooted(members, edges), "shingle-placed")
     split = materialize(placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band"), "shingle-split")
     placed = placed.join(checked_broadcast(split), "band")
-    one = placed.select("band", "least", F.col("node").alias("u"), F.col("root").alias("a")).join(of("u", "x", "n_x"), "u")
-    other = placed.select(F.col("band").alias("other_band"), F.col("node").alias("v"), F.col("root").alias("b")).join(of("v", "y", "n_y"), "v")
-    apart = (F.col("band") == F.col("other_band")) & F.expr("u < v AND a <> b AND u <> least") & likely
+    one = placed.select("band", "least", F.col("node").alias("u"), F.col("root").alias("a")).join(of("u", "x", "n_x", "bands_x"), "u")
+    other = placed.select(F.col("band").alias("other_band"), F.col("node").alias("v"), F.col("root").alias("b")).join(of("v", "y", "n_y", "bands_y"), "v")
+    once = F.get(F.array_intersect("bands_x", "bands_y"), F.lit(0)) == F.col("band")
+    apart = (F.col("band") == F.col("other_band")) & F.expr("u < v AND a <> b AND u <> least") & likely & once
     second = one.join(other, apart).select("u", "v").distinct()
     edges = materialize(edges.unionByName(verified(docs, sketches, second, row)), "shingle-edges")
     return _rooted(sketches.select("row", "doc_id", "node"), edges).withColumnRenamed("root", "group")
