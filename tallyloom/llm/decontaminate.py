@@ -16,7 +16,9 @@ replaced (none in items under 5 words, which must occur as they are).
 Documents are scanned once, in full. A Bloom filter of the benchmark's seeds (fixed size, broadcast)
 keeps the seeds that may match; only these, with the words around them, are shuffled. Words beyond a
 window cannot belong to the stretch: without hits, every 13 words lose at least 2 of its sum (a match
-counts 1, a replaced word -4), so it reaches at most 7 words for each word between its outermost hits.
+counts 1, a replaced word -4), so it reaches at most 7 words for each word between its outermost hits, nor
+does it reach farther than the longest item. A pair of a window and an item is verified on the words that
+lie on each other only, so a window may be long.
 Windows with the same words and items with the same words fold into one before they meet. Seeds and
 items are broadcast only within a bound in bytes, else joined by shuffle.
 
@@ -45,7 +47,7 @@ MIN_OVERLAP = 13
 MIN_SIMILARITY = 0.8
 #: Beside +1 for a match: MIN_SIMILARITY of the words match where the sum is 0 or more.
 MISMATCH = -4
-#: A window reaches PAD + REACH * (words from its first to its last hit) words beyond its hits.
+#: A window reaches PAD + REACH * (words from its first to its last hit) words beyond its hits, or the longest item.
 PAD, REACH = 26, 7
 FILTER_BITS = 27
 _WORD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -98,10 +100,10 @@ def best_stretch(same: np.ndarray) -> tuple[int, int]:
     return end - start, int(same[start:end].sum())
 
 
-def clusters(at: np.ndarray, ends: np.ndarray, n_words: int) -> list[tuple[int, int, int, int]]:
+def clusters(at: np.ndarray, ends: np.ndarray, n_words: int, longest: int) -> list[tuple[int, int, int, int]]:
     """(first hit, hit after the last, first word, word after the last) of windows around sorted hits, none overlapping."""
     out: list[tuple[int, int, int, int]] = []
-    pad = lambda a, b: PAD + REACH * int(ends[b - 1] - at[a])
+    pad = lambda a, b: min(longest, PAD + REACH * int(ends[b - 1] - at[a]))
     for k in range(len(at)):
         a, b = k, k + 1
         while out and int(at[a]) - pad(a, b) < out[-1][3]:
@@ -146,7 +148,7 @@ def _filter(item_seeds: DataFrame) -> np.ndarray:
     return bits
 
 
-def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
+def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...], longest: int) -> DataFrame:
     """(a, b, doc_id, words, at, seeds): stretches of words around seeds that pass the filter, named by 128 bits of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
 
@@ -171,7 +173,7 @@ def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame
                     continue
                 order = np.argsort(at, kind="stable")
                 at, found, ends = at[order], found[order], np.maximum.accumulate(ends[order])
-                for a, b, lo, hi in clusters(at, ends, len(words)):
+                for a, b, lo, hi in clusters(at, ends, len(words), longest):
                     rows.append((doc, words[lo:hi].view(np.int64), (at[a:b] - lo).astype(np.int32), found[a:b].view(np.int64)))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -184,11 +186,9 @@ def hits(docs: DataFrame, bits: np.ndarray, masks: tuple[str, ...]) -> DataFrame
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         rows, counts = [], ([], [])
-        for row, (shift, words, item_words) in enumerate(zip(*(batch.column(c) for c in ("shift", "words", "item_words")), strict=True)):
-            w, x, shift = words.values.to_numpy(), item_words.values.to_numpy(), shift.as_py()
-            lo, hi = max(0, -shift), min(len(x), len(w) - shift)
-            length, matches = best_stretch(w[lo + shift : hi + shift] == x[lo:hi])
-            if is_leak(length, matches, len(x)):
+        for row, (w, x, n) in enumerate(zip(*(batch.column(c) for c in ("w", "x", "n")), strict=True)):
+            length, matches = best_stretch(w.values.to_numpy() == x.values.to_numpy())
+            if is_leak(length, matches, n.as_py()):
                 rows.append(row)
                 counts[0].append(length)
                 counts[1].append(matches)
@@ -202,15 +202,20 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame,
     named = materialize(named.where(F.size("item_words") > 0).select(F.xxhash64("item_words").alias("item"), "item_id", "item_words").distinct(), "item-names")
     items = materialize(named.select("item", "item_words").dropDuplicates(["item"]), "items")
     item_seeds = materialize(items.select(F.col("item").alias("item_id"), "item_words").mapInArrow(_item_seeds, "item_id long, seed long, item_at int").distinct(), "item-seeds").withColumnRenamed("item_id", "item")
+    longest = items.agg(F.max(F.size("item_words"))).first()[0] or 0
     lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < MIN_OVERLAP).distinct().collect()]
     masks = MASKS + tuple(m for n in sorted(lengths) for m in item_masks(n))
-    windows = materialize(hits(docs, _filter(item_seeds), masks), "windows")
+    windows = materialize(hits(docs, _filter(item_seeds), masks, longest), "windows")
     # the hits of a window follow from its words; any of the equal rows serves
     once = materialize(windows.drop("doc_id").dropDuplicates(["a", "b"]), "distinct-windows")
     hit = once.select("a", "b", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("a", "b", "h.at", F.col("h.seeds").alias("seed"))
     laid = hit.join(checked_broadcast(item_seeds), "seed").select("a", "b", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = laid.join(once.select("a", "b", "words"), ["a", "b"]).join(checked_broadcast(items), "item")
-    found = pairs.select("a", "b", "item", "shift", "words", "item_words").mapInArrow(_verified, "a long, b long, item long, overlap long, matches long")
+    # the words that lie on each other
+    start, n = F.greatest("shift", F.lit(0)), F.size("item_words")
+    both = F.least(F.size("words"), F.col("shift") + n) - start
+    laid_out = pairs.select("a", "b", "item", F.slice("words", start + 1, both).alias("w"), F.slice("item_words", start - F.col("shift") + 1, both).alias("x"), n.alias("n"))
+    found = laid_out.mapInArrow(_verified, "a long, b long, item long, overlap long, matches long")
     best = found.groupBy("a", "b", "item").agg(F.max(F.struct("overlap", "matches")).alias("best")).select("a", "b", "item", "best.*")
     return windows.select("doc_id", "a", "b"), materialize(best, "overlaps"), named.select("item", "item_id")
 
