@@ -313,3 +313,15 @@ def clear_all(spark, sf):
     settings = table(spark, sf, "region").select(F.col("r_name").alias("key"), F.col("r_comment").alias("value") if "r_comment" in table(spark, sf, "region").columns else F.lit("v").alias("value"))
     left = state.clear({"settings": settings, "attempts": attempts(spark, sf)}, session_key="ASIA")
     return reduce(lambda a, b: a.unionByName(b), [rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, rows in left.items()])
+
+
+@query("backup_restore", f"{MODEL_SQL} SELECT 'questionStats' AS name, count(*) AS rows, sum(attempt_count)::BIGINT AS total FROM stats UNION ALL SELECT 'tagStats', 0, NULL UNION ALL SELECT 'settings', count(*), NULL FROM region")
+def backup_restore(spark, sf):
+    """A backup of all states and of no tags, over a half of the states and some tags; settings are not in it and stay."""
+    s = states(spark, sf)
+    tags = state.tag_stats(attempts(spark, sf), questions(spark, sf))
+    exported = banks.export_all({"questionStats": s, "tagStats": tags.limit(0)}, F.lit("2024-02-03").cast("timestamp"))
+    settings = table(spark, sf, "region").select(F.col("r_name").alias("key"))
+    left = banks.import_all(exported, {"questionStats": s.where("question_id % 2 = 0"), "tagStats": tags, "settings": settings})
+    total = lambda name: F.sum("attempt_count") if name != "settings" else F.lit(None).cast("bigint")
+    return reduce(lambda a, b: a.unionByName(b), [rows.agg(F.count("*").alias("rows"), total(name).alias("total")).select(F.lit(name).alias("name"), "rows", "total") for name, rows in left.items()])

@@ -82,6 +82,33 @@ def import_table(exported: DataFrame, name: str, schema: T.StructType) -> DataFr
     return exported.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*")
 
 
+def export_all(tables: dict[str, DataFrame], at: Column, version: int = 2) -> DataFrame:
+    """(table, row): every table as JSON rows, and a row `meta` with the version, the time and the names of the tables."""
+    spark = next(iter(tables.values())).sparkSession
+    head = F.struct(F.lit(version).alias("version"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exportedAt"), F.array(*[F.lit(n) for n in tables]).alias("tables"))
+    out = spark.range(1).select(F.lit("meta").alias("table"), F.to_json(head).alias("row"))
+    for name, rows in tables.items():
+        out = out.unionByName(export_table(rows, name))
+    return out
+
+
+def import_all(exported: DataFrame, current: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables after an import that overwrites: those the backup names come from it, even if empty; the others stay."""
+    meta = exported.where("table = 'meta'").select(F.from_json("row", "version INT, exportedAt STRING, tables ARRAY<STRING>").alias("m")).select("m.*").first()
+    if meta is None or meta.version is None:
+        raise ValueError("the backup has no version")
+    return {name: import_table(exported, name, rows.schema) if name in (meta.tables or []) else rows for name, rows in current.items()}
+
+
+def add_questions(bank: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+    """`bank` and the new rows; ids that would occur twice are an error."""
+    both = union_banks(bank, fresh)
+    repeated = [r[key] for r in conflicts(both, key).orderBy(key).limit(5).collect()]
+    if repeated:
+        raise ValueError(f"ids occur twice: {repeated}")
+    return both
+
+
 def backup_problem(payload: Column) -> Column:
     """Why a backup document cannot be imported; null if it can. Unknown keys are ignored."""
     parsed = F.try_parse_json(payload)

@@ -111,3 +111,14 @@ def test_markdown_and_bank_files(spark, tmp_path):
     assert banks.sidecar_or_count(stored, read, ["history"]).first().questions == 7
     assert banks.sidecar_or_count(stored.where("false"), read, ["history"]).first().questions == 1
     assert spark.range(1).select(retrieval.ancestors_of_path(F.array(F.lit("a"), F.lit("b"), F.lit("c")))).first()[0] == ["a", "a/b"]
+
+
+def test_backup_without_version_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(1,)], "id long")
+    exported = banks.export_all({"sessions": rows}, F.lit("2024-01-01").cast("timestamp"))
+    assert '"exportedAt":"2024-01-01T00:00:00.000Z"' in exported.where("table = 'meta'").first().row
+    with pytest.raises(ValueError, match="version"):
+        banks.import_all(exported.where("table <> 'meta'"), {"sessions": rows})
+    assert banks.add_questions(rows, spark.createDataFrame([(2,)], "id long")).count() == 2
+    with pytest.raises(ValueError, match="twice"):
+        banks.add_questions(rows, rows)
