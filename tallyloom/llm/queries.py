@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity
+from tallyloom.llm import chat, decontaminate, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
 from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
 
 
@@ -210,6 +210,38 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+FINITE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11_sql() -> str:
+    """Rounds of plain nearest entries, one pair of steps for each."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""far{r} AS (SELECT r, p, k, sum((x - c) * (x - c))::HUGEINT AS d FROM components JOIN book{r} USING (p, pos) GROUP BY ALL),
+near{r} AS MATERIALIZED (SELECT r, p, min(d * {entries} + k) % {entries} AS k, min(d) AS d FROM far{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""sums{r} AS (SELECT p, k, pos, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM components JOIN near{r} USING (r, p) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT p, k, pos, CASE WHEN n IS NULL THEN c ELSE (s - (s % n + n) % n) // n END AS c FROM book{r} LEFT JOIN sums{r} USING (p, k, pos))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, embedding FROM embeddings WHERE {FINITE_SQL}),
+wide AS (SELECT max(len(embedding)) // {parts} AS w FROM kept),
+components AS MATERIALIZED (
+  SELECT r, (i - 1) // w AS p, (i - 1) % w AS pos, floor({vector_codes.SCALE} * embedding[i]::DOUBLE)::HUGEINT AS x FROM kept, wide, LATERAL (SELECT unnest(range(1, {parts} * w + 1)) AS i)
+),
+book0 AS MATERIALIZED (SELECT p, r AS k, pos, x AS c FROM components WHERE r < {entries}),
+{", ".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', k::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, k, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -221,5 +253,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op11_vector_codes": _op11_sql()}

@@ -179,7 +179,7 @@ def test_bound_drops_no_unit(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_small}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_small)
     columns = sorted(got.columns)
