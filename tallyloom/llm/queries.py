@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
+from tallyloom.llm import chat, decontaminate, hash_index, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
 from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
 
 
@@ -242,6 +242,11 @@ FROM kept JOIN coded USING (r)
 """
 
 
+def op12_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_index.search(hash_index.build(vectors, 10), vectors.where("vec_id % 100 = 0"), 10).select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -254,5 +259,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_hash_index": op12_hash_index,
 }
 ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op11_vector_codes": _op11_sql()}

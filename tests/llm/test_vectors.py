@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tallyloom.llm import vector_codes, vectors
+from tallyloom.llm import hash_index, queries, vector_codes, vectors
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -99,3 +99,84 @@ def test_tiles_meet_once(spark):
     pairs = a.join(b, ["shard", "tile"])
     assert pairs.count() == pairs.select("vec_id", "query_id").distinct().count() == 5000 * 40
     assert vectors.shard_count(0) == 1 and vectors.shard_count(10**9) == -(-(10**9) // vectors.SHARD_ROWS)
+
+
+def exact_nearest(rows, k, every=100):
+    """Of each query the k nearest rows of another id, by brute force; ids are unique here."""
+    kept = [(i, np.array(v, float)) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in kept]), np.array([v for _, v in kept])
+    out = {}
+    for i, v in kept:
+        if i % every == 0:
+            far = np.sqrt(((x - v) ** 2).sum(1))
+            out[i] = [(int(ids[j]), float(far[j])) for j in np.lexsort((ids, far)) if ids[j] != i][:k]
+    return out
+
+
+def found(frame, k=10, every=100):
+    got = {}
+    for r in hash_index.search(hash_index.build(frame, k), frame.where(f"vec_id % {every} = 0"), k).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert all([x[0] for x in sorted(v)] == list(range(1, len(v) + 1)) for v in got.values())
+    return {q: [x[1:] for x in sorted(v)] for q, v in got.items()}
+
+
+def recall(got, want):
+    return sum(len({i for i, _ in w} & {i for i, _ in got.get(q, [])}) for q, w in want.items()) / max(1, sum(map(len, want.values())))
+
+
+def test_index_recall_on_tables(spark, sf_oracle):
+    """The registered query, on vectors that lie evenly around the origin."""
+    rows = spark.read.parquet(f"{sf_oracle}/embeddings.parquet").collect()
+    got = {}
+    for r in queries.op12_hash_index(spark, sf_oracle).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = exact_nearest([(r["vec_id"], r["embedding"]) for r in rows], 10)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    got = {q: [x[1:] for x in sorted(v)] for q, v in got.items()}
+    assert recall(got, want) >= 0.95
+    assert all(s == pytest.approx(dict(want[q]).get(i, s), abs=1e-12) for q, v in got.items() for i, s in v)
+
+
+def test_index_on_clusters_and_copies(spark):
+    rows = some(11, 4000, width=24)
+    rows += [(4000 + i, rows[100][1], 1) for i in range(1300)]  # a third are copies of a query
+    rows += [(9000 + i, [x + 0.001 * i for x in rows[200][1]], 1) for i in range(50)]
+    got, want = found(make(spark, rows).repartition(6)), exact_nearest(rows, 10)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.95
+    assert [i for i, _ in got[100]] == list(range(4000, 4010))  # ties to the smaller id
+
+
+def test_index_ranks_few_codes_where_neighbours_are_near(spark):
+    """Groups of 12 copies with noise: those of a query are found over all shards, and few other codes are ranked."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.tile(rng.normal(size=(400, 64)), (12, 1)) + rng.normal(size=(4800, 64)) * 0.02)]
+    frame = make(spark, rows)
+    index = hash_index.build(frame, 10)
+    got = hash_index.search(index, frame.where("vec_id % 100 = 0"), 10).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(q, i) for q, v in exact_nearest(rows, 10).items() for i, _ in v}
+    assert np.median([r["probed"] for r in got]) < 0.05 * 4800 / vectors.shard_count(4800)
+
+
+def test_index_edges(spark):
+    few = [(0, [1.0, 0.0], 1), (100, [0.0, 1.0], None), (3, [1.0, 0.0], 1), (4, [0.0, 0.0], 1), (5, None, 1), (6, [NAN, 1.0], 1), (7, [None, 1.0], 1), (8, [INF, 1.0], 1), (None, [1.0, 0.0], 1), (9, [], 1)]
+    assert found(make(spark, few)) == {0: [(3, 0.0), (100, pytest.approx(2**0.5))], 100: [(0, pytest.approx(2**0.5)), (3, pytest.approx(2**0.5))]}
+    repeated = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (0, [0.5, 0.0], 1), (1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1)]
+    assert found(make(spark, repeated)) == {0: [(1, pytest.approx(1.25**0.5))] * 2}
+    assert found(make(spark, [])) == {} == found(make(spark, [(1, [1.0, 2.0], 1)]))
+    assert len(found(make(spark, [(*r, 1, 2) for r in few], f"{SCHEMA}, code int, query_id int"))) == 2
+    same = [(i, [1.0] * 5, 1) for i in range(300)]
+    assert all([i for i, _ in v] == [i for i in range(12) if i != q][:10] for q, v in found(make(spark, same)).items())
+    with pytest.raises(ValueError):
+        found(make(spark, [(1, [1.0], 1), (2, [1.0, 2.0], 1)]))
+
+
+@pytest.mark.parametrize("radius", [0, 3, 11, 24, 64])
+def test_probing_loses_no_code(radius):
+    rng = np.random.default_rng(radius)
+    codes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    codes[:500] = codes[0] ^ np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    for cuts in ([(0, 16), (16, 16), (32, 16), (48, 16)], [(0, 8), (8, 8)], [(0, 32), (32, 32)]):
+        shard = hash_index.Shard(np.arange(3000), np.zeros((3000, 1)), codes & np.uint64((1 << sum(w for _, w in cuts)) - 1), cuts)
+        for code in (shard.codes[0], shard.codes[700]):
+            assert shard.probe(code, radius).tolist() == np.flatnonzero(np.bitwise_count(shard.codes ^ code) <= radius).tolist()
