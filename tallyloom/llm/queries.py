@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, decontaminate, hash_index, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
+from tallyloom.llm import chat, decontaminate, hard_negatives, hash_index, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
 from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
 
 
@@ -247,6 +247,31 @@ def op12_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_index.search(hash_index.build(vectors, 10), vectors.where("vec_id % 100 = 0"), 10).select("query_id", "rank", "vec_id", "score")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, "vec_id % 100 = 0").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND {FINITE_SQL}
+),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_dot_product(a.v, c.v)::BIGINT AS score FROM kept a JOIN kept c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE own = label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE own <> label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -260,5 +285,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
     "op12_hash_index": op12_hash_index,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op11_vector_codes": _op11_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_licenses": _op3_sql(), "op6_line_dedup": OP6_SQL, "op7_chat": OP7_SQL, "op11_vector_codes": _op11_sql(), "op13_hard_negatives": OP13_SQL}

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from tallyloom.llm import hash_index, queries, vector_codes, vectors
+from tallyloom.llm import hard_negatives, hash_index, queries, vector_codes, vectors
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -180,3 +180,56 @@ def test_probing_loses_no_code(radius):
         shard = hash_index.Shard(np.arange(3000), np.zeros((3000, 1)), codes & np.uint64((1 << sum(w for _, w in cuts)) - 1), cuts)
         for code in (shard.codes[0], shard.codes[700]):
             assert shard.probe(code, radius).tolist() == np.flatnonzero(np.bitwise_count(shard.codes ^ code) <= radius).tolist()
+
+
+def mined_plainly(rows, every, positives=5, negatives=10, scale=256):
+    kept = [(i, [int(np.floor(float(x) * scale)) for x in v], lab) for i, v, lab, *_ in rows if i is not None and lab is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    least = {}
+    for i, v, lab in kept:
+        if i % every == 0:
+            least[i] = min(least.get(i, (v, lab)), (v, lab))
+    out = []
+    for i, (a, own) in least.items():
+        scored = sorted((-sum(x * y for x, y in zip(a, v, strict=True)), j, lab) for j, v, lab in kept)
+        for score, pos, _ in [s for s in scored if s[2] == own and s[1] != i][:positives]:
+            window = [(s, j) for s, j, lab in scored if lab != own and 30 * -score <= 100 * -s <= 90 * -score]
+            out += [(i, pos, rank, j, -score, -s) for rank, (s, j) in enumerate(window[:negatives], 1)]
+    return sorted(out)
+
+
+def mined(frame, every):
+    return sorted(tuple(r)[:6] for r in hard_negatives.mine(frame, f"vec_id % {every} = 0").collect())
+
+
+@pytest.mark.parametrize(("seed", "grid"), [(21, None), (22, 4)])
+def test_mining_equals_brute_force(spark, seed, grid):
+    rows = [(i, v, lab) for i, v, lab in some(seed, 2500, width=15, grid=grid)]  # an odd width; ties on the grid
+    rows += [(2500 + i, rows[50][1], 2) for i in range(1200)]  # a third are copies of an anchor, of one label
+    rows += [(50, rows[51][1], 1), (50, rows[51][1], 1), (5001, None, 1), (5002, [NAN] * 15, 1), (5003, [None] * 15, 1), (None, [1.0] * 15, 1), (5050, [0.0] * 15, 3), (5100, [-x for x in rows[3][1]], 0)]
+    assert mined(make(spark, rows).repartition(5), 50) == mined_plainly(rows, 50)
+
+
+def test_mining_of_few_rows(spark):
+    few = [(0, [1.0, 0.5], 1), (1, [1.0, 0.25], 1), (2, [0.5, 0.25], 2), (3, [0.5, 0.25], 2), (4, [9.0, 9.0], 3), (100, [1.0, 1.0], 7)]
+    assert mined(make(spark, few), 100) == mined_plainly(few, 100) != []
+    assert mined(make(spark, [(*r, 1, "x") for r in few], f"{SCHEMA}, ints int, codes string"), 100) == mined_plainly(few, 100)
+    assert mined(make(spark, []), 100) == mined(make(spark, [(0, [1.0], None)]), 100) == []
+    for odd in ([(1, [1.0, 2.0], 1), (2, [1.0], 1)], [(1, [1e30, 2.0], 1)]):
+        with pytest.raises(ValueError):
+            mined(make(spark, odd), 100)
+
+
+def test_residual_bounds_hold_and_filter():
+    rng = np.random.default_rng(31)
+    rows = rng.normal(size=(6000, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+    books = hard_negatives.fit(rows[:2000])
+    shard = hard_negatives.Shard(books, np.arange(6000), np.zeros(6000, int), rows, *hard_negatives.encode(rows, books))
+    every = np.arange(6000)
+    low, high = shard.bounds(rows[7], every)
+    score = rows @ rows[7]
+    assert (low <= score).all() and (score <= high).all()
+    (_, places, scores, tried), = shard.best(rows[7], every, [(0, 5000, 15000)], 10)
+    inside = [i for i in np.lexsort((every, -score)) if 5000 <= score[i] <= 15000][:10]
+    assert places.tolist() == inside and scores.tolist() == score[inside].tolist()
+    assert tried < 0.3 * ((score >= 5000) & (score <= 15000)).sum() + 0.3 * 6000
