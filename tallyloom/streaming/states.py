@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "attempts long, correct long, wrong long, mastery long, last_correct boolean, last_micros long"
 OUTPUT = "question_id long, attempt_count long, correct_count long, wrong_count long, mastery long, last_correct boolean, last_attempt_at timestamp"
+#: Attempts that tell the mastery: it is 1 plus the run of correct answers, at most 5.
+RECENT = 4
+BLOCKS = "question_id long, attempts long, correct long, first array<long>, recent array<long>"
+SESSIONS = "learner_id long, start timestamp, end timestamp, attempts long, correct long"
+SESSION_BLOCKS = "learner_id long, start_at timestamp, end_at timestamp, attempts long, correct long"
+HOUR = 3_600_000_000
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -30,33 +35,173 @@ def attempt_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def advance(state: tuple, correct: list[bool], micros: list[int]) -> tuple:
-    """State after further attempts in order: the rules of normal mode."""
-    attempts, right, wrong, mastery, last, at = state
-    for ok, when in zip(correct, micros, strict=True):
-        if ok:
-            mastery = min(5, 2 if mastery < 1 else mastery + 1)
-        else:
-            mastery = 1
-            wrong += attempts > 0
-        attempts, right, last, at = attempts + 1, right + bool(ok), bool(ok), when
-    return attempts, right, wrong, mastery, last, at
+def known() -> Column:
+    """An answer of unknown result is a wrong one."""
+    return F.coalesce("is_correct", F.lit(False)).alias("is_correct")
+
 
+def _places(rows: pd.DataFrame) -> pd.Series:
+    """[microseconds, id, correct] of each attempt, as a list: lists sort in the order of attempts."""
+    micros = rows.created_at.astype("datetime64[us]").astype("int64")
+    return pd.Series([list(x) for x in zip(micros.tolist(), rows.attempt_id.tolist(), rows.is_correct.astype(int).tolist(), strict=True)], index=rows.index, dtype=object)
 
-def _update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(parts)).sort_values(["created_at", "attempt_id"])
-    now = advance(state.get if state.exists else (0, 0, 0, 0, False, 0), rows.is_correct.tolist(), (rows.created_at.astype("datetime64[us]").astype("int64")).tolist())
-    state.update(now)
-    yield pd.DataFrame([[key[0], *now[:5], pd.Timestamp(now[5], unit="us")]], columns=["question_id", "attempt_count", "correct_count", "wrong_count", "mastery", "last_correct", "last_attempt_at"])
+
+def question_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each batch of rows and question one summary: counts, the first attempt and the last RECENT, newest first.
+
+    Two summaries make one in any order, so a question with a third of all attempts sends a row for each batch of some thousand.
+    """
+    for rows in batches:
+        rows = rows[rows.question_id.notna() & rows.created_at.notna() & rows.attempt_id.notna()]
+        if not len(rows):
+            continue
+        rows = rows.sort_values(["created_at", "attempt_id"])
+        rows = rows.assign(place=_places(rows))
+        groups = rows.groupby("question_id")
+        yield pd.DataFrame(
+            {
+                "attempts": groups.size(),
+                "correct": groups.is_correct.sum(),
+                "first": groups.place.first(),
+                "recent": groups.tail(RECENT).groupby("question_id").place.agg(lambda x: [v for place in reversed(x.tolist()) for v in place]),
+            }
+        ).reset_index()
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """Summary (attempts, correct, first, recent) of the attempts of two summaries, whichever came first."""
+    triples = lambda flat: [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
+    recent = sorted(triples(list(a[3])) + triples(list(b[3])), reverse=True)[:RECENT]
+    return a[0] + b[0], a[1] + b[1], min(list(a[2]), list(b[2])), [v for place in recent for v in place]
+
+
+def standing(summary: tuple) -> tuple:
+    """(attempts, correct, wrong, mastery, last_correct, last microseconds) of a summary; a first wrong answer does not count as wrong."""
+    attempts, correct, first, recent = summary
+    answers = recent[2::3]
+    run = answers.index(0) if 0 in answers else len(answers)
+    return attempts, correct, attempts - correct - (not first[2]), 1 + run, bool(answers[0]), recent[0]
+
+
+class QuestionStates(StatefulProcessor):
+    """Keeps the summary of a question and puts out its standing after every batch that had attempts of it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("summary", "attempts long, correct long, first array<long>, recent array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names that Spark calls
+        now = tuple(self.kept.get()) if self.kept.exists() else (0, 0, [], [])
+        for part in rows:
+            for block in zip(part.attempts.tolist(), part.correct.tolist(), part["first"], part.recent, strict=True):
+                block = (block[0], block[1], [int(v) for v in block[2]], [int(v) for v in block[3]])
+                now = merged(now, block) if now[0] else block
+        self.kept.update(now)
+        values = standing(now)
+        yield pd.DataFrame([[key[0], *values[:5], pd.Timestamp(values[5], unit="us")]], columns=["question_id", "attempt_count", "correct_count", "wrong_count", "mastery", "last_correct", "last_attempt_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def with_state(spark: SparkSession) -> None:
+    """States with timers need the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def question_states(attempts: DataFrame) -> DataFrame:
     """Running state of every question, one row for each key of a batch that had attempts.
 
-    The transition depends on the order, which is that of (created_at, attempt_id) inside a batch and of
-    arrival across batches.
+    The order is that of (created_at, attempt_id) over the whole stream, however attempts arrive. Attempts without a question, time or id count nowhere.
+    """
+    with_state(attempts.sparkSession)
+    blocks = attempts.select("question_id", "attempt_id", "created_at", known()).mapInPandas(question_blocks, BLOCKS)
+    return blocks.groupBy("question_id").transformWithStateInPandas(QuestionStates(), OUTPUT, "Update", "None")
+
+
+def runs(times: list[tuple[int, int, int, int]], idle: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, attempts, correct) intervals joined where less than `idle` lies between two."""
+    out: list[tuple[int, int, int, int]] = []
+    for start, end, n, ok in sorted(times):
+        if out and start - out[-1][1] < idle:
+            last = out.pop()
+            out.append((last[0], max(last[1], end), last[2] + n, last[3] + ok))
+        else:
+            out.append((start, end, n, ok))
+    return out
+
+
+def session_blocks(idle: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each batch of rows and learner its runs of attempts, which join other runs in any order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows[rows.learner_id.notna() & rows.created_at.notna()]
+            if not len(rows):
+                continue
+            rows = rows.sort_values(["learner_id", "created_at"])
+            gap = rows.created_at.diff() >= pd.Timedelta(microseconds=idle)
+            fresh = gap | (rows.learner_id != rows.learner_id.shift())
+            groups = rows.assign(run=fresh.cumsum()).groupby("run")
+            yield pd.DataFrame({"learner_id": groups.learner_id.first(), "start_at": groups.created_at.min(), "end_at": groups.created_at.max(), "attempts": groups.size(), "correct": groups.is_correct.sum()})
+
+    return run
+
+
+class IdleSessions(StatefulProcessor):
+    """Keeps the open sessions of a learner; a timer closes, puts out and forgets each once it was idle."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "sessions array<long>")
+
+    def _read(self) -> list[tuple[int, int, int, int]]:
+        flat = list(self.open.get()[0]) if self.open.exists() else []
+        return [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]
+
+    def _keep(self, sessions: list[tuple[int, int, int, int]]) -> None:
+        """Stores the open sessions and sets one timer, for the first that can be idle."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if sessions:
+            self.open.update(([v for s in sessions for v in s],))
+            self.handle.registerTimer(self._due(min(s[1] for s in sessions)))
+        else:
+            self.open.clear()
+
+    def _due(self, end: int) -> int:
+        return -(-(end + self.idle) // 1000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sessions = self._read()
+        micros = lambda c: c.astype("datetime64[us]").astype("int64").tolist()
+        for part in rows:
+            sessions = runs(sessions + list(zip(micros(part.start_at), micros(part.end_at), part.attempts.tolist(), part.correct.tolist(), strict=True)), self.idle)
+        self._keep(sessions)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now, sessions = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._read()
+        done = [s for s in sessions if self._due(s[1]) <= now]
+        self._keep([s for s in sessions if self._due(s[1]) > now])
+        if done:
+            stamp = lambda v: pd.Timestamp(v, unit="us")
+            yield pd.DataFrame([[key[0], stamp(a), stamp(b), n, ok] for a, b, n, ok in done], columns=["learner_id", "start", "end", "attempts", "correct"])
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions(attempts: DataFrame, idle_hours: int = 24, late: str = "2 hours") -> DataFrame:
+    """Study sessions of each learner, put out once nothing was answered for `idle_hours`: then a session cannot go on and its state is dropped.
+
+    The clock is the watermark, `late` behind the newest attempt; runs of attempts that end before it are dropped.
     """
-    return attempts.groupBy("question_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    with_state(attempts.sparkSession)
+    blocks = attempts.select("learner_id", "created_at", known()).mapInPandas(session_blocks(idle_hours * HOUR), SESSION_BLOCKS)
+    return blocks.withWatermark("end_at", late).groupBy("learner_id").transformWithStateInPandas(IdleSessions(idle_hours * HOUR), SESSIONS, "Append", "EventTime")
 
 
 def tag_counters(attempts: DataFrame, questions: DataFrame) -> DataFrame:
