@@ -86,8 +86,8 @@ def _then(run: Column, later: Column) -> Column:
     )
 
 
-def fold(attempts: DataFrame, *keys: str) -> DataFrame:
-    """State of every key after its attempts in order; attempts may be in redo mode (column `redo`).
+def summaries(attempts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, run, last): what the attempts of every key, in order, make of any state before them; attempts may be in redo mode (column `redo`).
 
     Attempts are sorted by ranges of (key, place), so that those of a hot key spread over tasks, and cut into
     blocks; summaries of blocks are composed in the same way. No row holds more than `BLOCK` of either below the top.
@@ -101,6 +101,12 @@ def fold(attempts: DataFrame, *keys: str) -> DataFrame:
         level = [] if top else [F.shiftright("block", BLOCK.bit_length() - 1).alias("block")]
         parts = F.array_sort(F.collect_list(F.struct("block", "run")))
         runs = runs.groupBy(*keys, *level).agg(F.aggregate(parts, _empty(), lambda run, x: _then(run, x["run"])).alias("run"), F.max("last").alias("last"))
+    return runs
+
+
+def fold(attempts: DataFrame, *keys: str) -> DataFrame:
+    """State of every key after its attempts in order; attempts may be in redo mode (column `redo`)."""
+    runs = summaries(attempts, *keys)
     counted = F.when(F.col("run.reset"), F.col("run.wrong")).otherwise(F.col("run.wrong") - F.col("run.first_wrong"))
     return runs.select(
         *keys,
@@ -113,6 +119,28 @@ def fold(attempts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def advance(stats: DataFrame, attempts: DataFrame) -> DataFrame:
+    """`stats` after further attempts (columns of the log, and `redo`): the stored state goes through their summary, so older attempts are not read."""
+    mine = stats.select([F.col(c).alias(f"_{c}") for c in stats.columns])
+    both = mine.join(summaries(attempts, "question_id"), F.col("_question_id") == F.col("question_id"), "full_outer")
+    known, fresh = F.col("_question_id").isNotNull(), F.col("question_id").isNotNull()
+    add = lambda c, n: F.coalesce(f"_{c}", F.lit(0)) + F.coalesce(n, F.lit(0))
+    wrong = F.when(F.col("run.reset"), F.col("run.wrong")).otherwise(add("wrong_count", F.col("run.wrong")) - F.when(known, 0).otherwise(F.col("run.first_wrong")))
+    mastery = F.when(fresh, F.get("run.mastery", F.coalesce(F.col("_mastery").cast("int"), F.lit(0)))).otherwise(F.col("_mastery"))
+    now = {
+        "question_id": F.coalesce("question_id", "_question_id"),
+        "attempt_count": add("attempt_count", F.col("run.attempts")).cast("bigint"),
+        "correct_count": add("correct_count", F.col("run.correct")).cast("bigint"),
+        "wrong_count": F.when(fresh, wrong).otherwise(F.col("_wrong_count")).cast("bigint"),
+        "mastery": mastery,
+        "last_correct": F.when(fresh, F.col("last.is_correct")).otherwise(F.col("_last_correct")),
+        "last_attempt_at": F.when(fresh, F.col("last.created_at")).otherwise(F.col("_last_attempt_at")),
+        "review_due_at": F.when(fresh, due_at(F.col("last.created_at"), mastery)).otherwise(F.col("_review_due_at")),
+        "bookmarked": F.coalesce("_bookmarked", F.lit(False)),
+    }
+    return both.select([now.get(c, F.col(f"_{c}")).alias(c) for c in stats.columns])
+
+
 def tag_stats(attempts: DataFrame, questions: DataFrame) -> DataFrame:
     """Counters of every tag over the attempts of its questions: folded by question first, then by tag."""
     by_question = attempts.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("ok"))

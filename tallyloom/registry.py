@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyloom.plans import content, labels, learning, lists, parsers, streams
+from tallyloom.plans import content, exchange, labels, learning, lists, parsers, streams
 
-MODULES = (learning, content, labels, lists, parsers, streams)
+MODULES = (learning, content, labels, lists, parsers, streams, exchange)
 
 
 def queries() -> dict[str, Callable]:
