@@ -20,6 +20,14 @@ def _replace(text: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
 
 
+def char_grams(text: Column, q: int, tails: bool = False) -> Column:
+    """Distinct runs of `q` characters; with `tails`, also the shorter ones at the end. A text shorter than `q` is its own run; null and empty texts have none."""
+    text = F.coalesce(text, F.lit(""))
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{1 if tails else q},{q}}}))"), 1)  # one pass; each match looks ahead and takes nothing
+    short = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.array_distinct(F.when(F.length(text) <= q, short).otherwise(runs) if not tails else runs)
+
+
 def norm_audit(text: Column) -> Column:
     return F.lower(_replace(F.coalesce(text, F.lit("")), (SPACE, ""), (SIGNS_AUDIT, "")))
 
