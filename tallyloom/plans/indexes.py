@@ -1,10 +1,10 @@
-"""Registered queries: search by posting lists, near-duplicate questions."""
+"""Registered queries: search by posting lists, near-duplicate questions, tables of rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import near_questions, search_index
+from tallyloom.operators import near_questions, rules, search_index
 from tallyloom.operators.ordering import ranked
 from tallyloom.plans.content import NORM_SQL, search_sql
 from tallyloom.sources.tables import QUESTIONS_SQL, questions, table
@@ -59,3 +59,28 @@ def near_parts(spark, sf):
 
 QUERIES["near_parts"] = near_parts
 ORACLE_SQL["near_parts"] = near_sql("rows AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS stem FROM part)", 80, 2)
+
+
+#: Rules made from syllables: rule k looks for three of them, or for others with any vowel between.
+SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve au ie qu ur ro el co ai que men des ung sch ein lich".split()
+N_RULES = 2000
+
+
+def made_rules(n: int = N_RULES) -> list[tuple[str, str]]:
+    s, m = SYLLABLES, len(SYLLABLES)
+    return [(f"t{k % 500}", f"(?i){s[k // m % m]}{s[k % m]}{s[(7 * k + 3) % m]}|{s[k % m]}{s[k // m % m]}[aeiou]{s[(5 * k + 1) % m]}") for k in range(n)]
+
+
+def many_rules(spark, sf):
+    tagged = rules.tag_texts(table(spark, sf, "documents"), made_rules(), "doc_id")
+    return tagged.select(F.col("id").alias("doc_id"), F.array_join("tags", ",").alias("tags"))
+
+
+QUERIES["auto_tags_many"] = many_rules
+_LIST = "[" + ", ".join(f"'{x}'" for x in SYLLABLES) + "]"
+_AT = lambda e: f"s[({e}) % {len(SYLLABLES)} + 1]"
+ORACLE_SQL["auto_tags_many"] = f"""WITH s AS (SELECT {_LIST} AS s), r AS (
+  SELECT k, 't' || k % 500 AS name, {_AT(f"k // {len(SYLLABLES)}")} || {_AT("k")} || {_AT("7 * k + 3")} AS word, {_AT("k")} || {_AT(f"k // {len(SYLLABLES)}")} AS start, {_AT("5 * k + 1")} AS rest FROM s, range({N_RULES}) AS n(k)
+), d AS MATERIALIZED (SELECT doc_id, lower(text) AS l FROM documents),
+h AS (SELECT doc_id, name, min(k) AS k FROM d, r WHERE contains(l, word) OR contains(l, start) AND regexp_matches(l, start || '[aeiou]' || rest) GROUP BY ALL)
+SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY k), '') AS tags FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id"""
