@@ -36,6 +36,41 @@ def longest_streak(days: DataFrame, *keys: str) -> DataFrame:
     return islands(days, *keys).groupBy(*keys).agg(F.max("length").alias("streak"))
 
 
+def block_summaries(days: DataFrame, *keys: str, block_days: int = 32) -> DataFrame:
+    """(keys, block, first_day, last_day, head, tail, longest): the runs of each block of days; `head` and `tail` are those at its first and last active day.
+
+    Blocks are stretches of the calendar, so a new day touches one, and the others are never read again.
+    """
+    block = F.floor(F.unix_date("day") / block_days)
+    runs = islands(days.withColumn("block", block), *keys, "block")
+    return runs.groupBy(*keys, "block").agg(F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.min_by("length", "first_day").alias("head"), F.max_by("length", "first_day").alias("tail"), F.max("length").alias("longest"))
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Summary of two stretches, b after a; a run at the end of one goes on where the other begins on the next day."""
+    meets = F.date_add(a["last_day"], 1) == b["first_day"]
+    whole = lambda x: F.date_diff(x["last_day"], x["first_day"]) + 1  # noqa: E731  length of a stretch that is one run
+    return F.struct(
+        a["first_day"].alias("first_day"),
+        b["last_day"].alias("last_day"),
+        F.when(meets & (a["head"] == whole(a)), a["head"] + b["head"]).otherwise(a["head"]).alias("head"),
+        F.when(meets & (b["tail"] == whole(b)), a["tail"] + b["tail"]).otherwise(b["tail"]).alias("tail"),
+        F.greatest(a["longest"], b["longest"], F.when(meets, a["tail"] + b["head"])).alias("longest"),
+    )
+
+
+def merged_streaks(summaries: DataFrame, today: str, *keys: str) -> DataFrame:
+    """(keys, streak, longest) from summaries of blocks that do not overlap, however the days were cut; days after `today` must not be in them.
+
+    A key has one row for each block of its days, which meet in one list of a dozen a year.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("first_day", "last_day", "head", "tail", "longest")))
+    runs = summaries.groupBy(*keys).agg(parts.alias("parts"))
+    whole = runs.withColumn("all", F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.element_at("parts", 1), _joined))
+    alive = F.col("all.last_day") >= F.date_sub(F.lit(today).cast("date"), 1)
+    return whole.select(*keys, F.when(alive, F.col("all.tail")).otherwise(0).alias("streak"), F.col("all.longest").alias("longest"))
+
+
 def active_calendar(days: DataFrame, today: str, n: int = 30) -> DataFrame:
     """The last `n` days with a flag for activity."""
     marked = days.select("day").distinct().withColumn("active", F.lit(True))

@@ -285,14 +285,6 @@ def chat_context(spark, sf):
     return retrieval.last_messages(table(spark, sf, "conversations"), 3).select("conv_id", "turn", "role")
 
 
-TREE = [("root", None), ("course", "root"), ("history", "course"), ("modern", "history"), ("party", "course"), ("notes", "root")]
-
-
-@query("course_tree", "WITH RECURSIVE t(key, parent) AS (VALUES " + ", ".join(f"('{k}', {repr(p) if p else 'NULL'})" for k, p in TREE) + "), a AS (SELECT key, parent AS ancestor, 1 AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT a.key, t.parent, up + 1 FROM a JOIN t ON a.ancestor = t.key WHERE t.parent IS NOT NULL) SELECT * FROM a")
-def course_tree(spark, sf):
-    return retrieval.ancestors(spark.createDataFrame(TREE, "key string, parent string"))
-
-
 @query("session_gate", f"SELECT user_id, age <= 24 AND n > 0 AND (n - 1) % 7 + 1 < 7 AS in_progress FROM (SELECT user_id, (epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 3600 - 96 AS age, count(*) AS n FROM events GROUP BY user_id)")
 def session_gate(spark, sf):
     per = table(spark, sf, "events").groupBy("user_id").agg(((F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 1e6) / 3600 - 96).alias("age"), F.count("*").alias("n"))
@@ -330,14 +322,14 @@ def export_import(spark, sf):
     return banks.import_table(banks.export_table(s, "questionStats"), "questionStats", T.StructType.fromJson(s.schema.jsonValue()))
 
 
-BACKUPS = ['{"version": 3, "attempts": []}', '{"version": "3"}', "[1]", "nonsense", '{"version": 2, "settings": {}}', '{"version": 1, "other": 5}', '{"attempts": []}']
-PROBLEMS = [None, "no numeric version", "not an object", "not JSON", "table settings is not a list", None, "no numeric version"]
+#: Backup documents made from the events, good ones and all kinds of bad ones, by the id.
+PAYLOAD = """CASE event_id % 8 WHEN 0 THEN '{"version": ' || user_id || ', "attempts": [' || props || ']}' WHEN 1 THEN '{"version": "' || user_id || '"}' WHEN 2 THEN '[' || props || ']'
+WHEN 3 THEN event_type || ' ' || props WHEN 4 THEN '{"version": 2, "settings": ' || props || '}' WHEN 5 THEN '{"version": 1.5, "other": ' || props || ', "sessions": []}' WHEN 6 THEN props ELSE '{"version": 3, "tagStats": null, "attempts": "' || event_type || '"}' END"""
 
 
-@query("import_validate", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(p) if p else 'NULL'})" for i, p in enumerate(PROBLEMS)) + ") t(id, problem)")
+@query("import_validate", "SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'no numeric version' WHEN 2 THEN 'not an object' WHEN 3 THEN 'not JSON' WHEN 4 THEN 'table settings is not a list' WHEN 6 THEN 'no numeric version' WHEN 7 THEN 'table attempts is not a list' END AS problem FROM events")
 def import_validate(spark, sf):
-    rows = spark.createDataFrame(list(enumerate(BACKUPS)), "id int, payload string")
-    return rows.select("id", banks.backup_problem(F.col("payload")).alias("problem"))
+    return table(spark, sf, "events").select("event_id", banks.backup_problem(F.expr(PAYLOAD)).alias("problem"))
 
 
 @query("settings_get", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'dark' WHEN 1 THEN '30' WHEN 2 THEN 'raw text' ELSE 'fallback' END AS value FROM region")

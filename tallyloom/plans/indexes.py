@@ -1,13 +1,14 @@
-"""Registered queries: search by posting lists, near-duplicate questions, tables of rules."""
+"""Registered queries: search by posting lists, near-duplicate questions, tables of rules, trees and spans, samples."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import near_questions, rules, search_index
+from tallyloom.operators import intervals, near_questions, retrieval, rules, sampling, search_index, streaks
 from tallyloom.operators.ordering import ranked
 from tallyloom.plans.content import NORM_SQL, search_sql
-from tallyloom.sources.tables import QUESTIONS_SQL, questions, table
+from tallyloom.plans.learning import DAYS_SQL, TODAY
+from tallyloom.sources.tables import ATTEMPTS_SQL, QUESTIONS_SQL, attempts, questions, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +85,83 @@ ORACLE_SQL["auto_tags_many"] = f"""WITH s AS (SELECT {_LIST} AS s), r AS (
 ), d AS MATERIALIZED (SELECT doc_id, lower(text) AS l FROM documents),
 h AS (SELECT doc_id, name, min(k) AS k FROM d, r WHERE contains(l, word) OR contains(l, start) AND regexp_matches(l, start || '[aeiou]' || rest) GROUP BY ALL)
 SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY k), '') AS tags FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id"""
+
+
+def places(spark, sf):
+    """A tree (key, parent): customers in nations in regions."""
+    node = lambda t, key, parent: table(spark, sf, t).select(F.expr(key).alias("key"), F.expr(parent).alias("parent"))
+    tops = node("region", "'r' || r_regionkey", "CAST(NULL AS STRING)")
+    return tops.unionByName(node("nation", "'n' || n_nationkey", "'r' || n_regionkey")).unionByName(node("customer", "'c' || c_custkey", "'n' || c_nationkey"))
+
+
+PLACES_SQL = """t(key, parent) AS (SELECT 'r' || r_regionkey, NULL FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
+
+
+def course_tree(spark, sf):
+    return retrieval.ancestors(places(spark, sf))
+
+
+def tree_labels(spark, sf):
+    return intervals.tree_labels(places(spark, sf))
+
+
+def subtree_members(spark, sf):
+    """All that is below a region, by one range of labels."""
+    labels = intervals.materialize(intervals.tree_labels(places(spark, sf)), "labels")
+    return intervals.subtree(labels, "r1").select("key", "depth")
+
+
+QUERIES |= {"course_tree": course_tree, "tree_labels": tree_labels, "subtree_members": subtree_members}
+_PATHS = f"WITH RECURSIVE {PLACES_SQL}, p AS (SELECT key, parent, [key] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.key, t.parent, list_append(p.path, t.key) FROM t JOIN p ON t.parent = p.key)"
+ORACLE_SQL |= {
+    "course_tree": f"WITH RECURSIVE {PLACES_SQL}, a AS (SELECT key, parent AS ancestor, 1 AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT a.key, t.parent, up + 1 FROM a JOIN t ON a.ancestor = t.key WHERE t.parent IS NOT NULL) SELECT * FROM a",
+    "tree_labels": f"""{_PATHS}, n AS (SELECT *, row_number() OVER (ORDER BY path) AS entry FROM p), u AS (SELECT top, count(*) AS members FROM (SELECT unnest(path) AS top FROM n) GROUP BY top)
+SELECT key, parent, len(path) - 1 AS depth, entry, entry + members - 1 AS exit FROM n JOIN u ON top = key""",
+    "subtree_members": f"{_PATHS} SELECT key, len(path) - 1 AS depth FROM p WHERE list_contains(path, 'r1') AND key <> 'r1'",
+}
+
+HOUR = 3_600_000_000
+
+
+def presence(spark, sf):
+    """For each attempt, the attempts of other learners while its learner stays: an hour from the attempt on."""
+    log = attempts(spark, sf).select("attempt_id", "learner_id", F.unix_micros("created_at").alias("at"))
+    spans = log.select("attempt_id", F.col("learner_id").alias("stays"), F.col("at").alias("from"), (F.col("at") + HOUR).alias("until"))
+    others = log.select("learner_id", "at", F.col("at").alias("same"))
+    met = intervals.overlap_join(others, spans, ("at", "same"), ("from", "until"), HOUR).where("learner_id <> stays")
+    return met.groupBy("attempt_id").agg(F.count("*").alias("others"))
+
+
+QUERIES["presence"] = presence
+ORACLE_SQL["presence"] = f"WITH {ATTEMPTS_SQL} SELECT s.attempt_id, count(*) AS others FROM attempts s JOIN attempts o ON o.created_at >= s.created_at AND o.created_at <= s.created_at + INTERVAL 1 HOUR AND o.learner_id <> s.learner_id GROUP BY s.attempt_id"
+
+
+def streaks_merged(spark, sf):
+    """Current and longest streak of every learner from summaries of weeks."""
+    days = streaks.active_days(attempts(spark, sf), "created_at", "learner_id")
+    return streaks.merged_streaks(streaks.block_summaries(days.where(F.col("day") <= TODAY), "learner_id", block_days=7), TODAY, "learner_id")
+
+
+QUERIES["streaks_merged"] = streaks_merged
+ORACLE_SQL["streaks_merged"] = f"WITH {DAYS_SQL} SELECT learner_id, coalesce(max(length) FILTER (last_day >= DATE '{TODAY}' - 1), 0) AS streak, max(length) AS longest FROM islands GROUP BY learner_id"
+
+#: Questions that an exam takes of each group.
+QUOTAS = {"src1": 3, "src2": 5, "src5": 1, "src19": 7, "none": 4, "src3": 0}
+
+
+def exam_quotas(spark, sf):
+    return sampling.by_quotas(questions(spark, sf), QUOTAS, "group_id", seed="exam").select("id", "group_id", "draw")
+
+
+def samples_merged(spark, sf):
+    """Four questions of each group and type, drawn from three parts of the bank and merged."""
+    bank = questions(spark, sf).select("id", "group_id", "status")
+    drawn = [sampling.bottom_k(bank.where(f"id % 3 = {r}"), 4, ["group_id", "status"], seed="s") for r in range(3)]
+    return sampling.merged(drawn, 4, ["group_id", "status"], seed="s")
+
+
+QUERIES |= {"exam_quotas": exam_quotas, "samples_merged": samples_merged}
+ORACLE_SQL |= {
+    "exam_quotas": f"WITH {QUESTIONS_SQL}, k(group_id, k) AS (VALUES {', '.join(f"('{g}', {n})" for g, n in QUOTAS.items())}) SELECT id, group_id, row_number() OVER w AS draw FROM questions JOIN k USING (group_id) WINDOW w AS (PARTITION BY group_id ORDER BY md5('exam:' || id), id) QUALIFY draw <= k",
+    "samples_merged": f"WITH {QUESTIONS_SQL} SELECT id, group_id, status, row_number() OVER w AS draw FROM questions WINDOW w AS (PARTITION BY group_id, status ORDER BY md5('s:' || id), id) QUALIFY draw <= 4",
+}
