@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.functions import answers, kana, prompts, text
+from tallyloom.functions import alternatives, answers, prompts, text
 from tallyloom.operators import markdown, quality
 from tallyloom.plans.content import BLANK_SQL, FILE, FILE_SQL, KEYED_SQL, NORM_PARSER_SQL, NORM_SQL, markdown_files, options_of
 from tallyloom.sources.tables import QUESTIONS_SQL, questions, table
@@ -282,21 +282,29 @@ tagged("history_tags", text.HISTORY_TAGS, "刷题单 第三套", "'第三章', "
 tagged("party_tags", text.PARTY_TAGS)
 tagged("military_tags", text.MILITARY_TAGS)
 
-#: Readings, the options at hand, and the altered reading by the rules in order.
-READINGS = [("れんらくします", "x", "れんらくする"), ("たべます", "たべる", "たべました"), ("がっこう", "x", "かっこう"), ("せんせい", "ぜんせい", "へんせい"), ("ほん", "x", "ぼん"), ("あさ", "x", "あざ"), ("え", "x", "えう"), ("ん", "x", "んー"), ("いっか", "いか", "いつか")]
+#: Rules for readings, made for this query: a voiced first sign, a dropped small sign, another last sign, a longer end.
+READING_RULES = [("^か", "が"), ("^さ", "ざ"), ("^た", "だ"), ("^は", "ば"), ("っ", ""), ("い$", "え"), ("う$", "お"), ("([^ん])$", "$1ん")]
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz ", "かきくけこさしすせいたっうてとなにぬはひふへほまみむん"
 
 
-@query("kana_alternatives", "WITH r(i, word, altered) AS (VALUES " + ", ".join(f"({i}, '{w}', '{a}')" for i, (w, _, a) in enumerate(READINGS)) + ") SELECT doc_id, word, altered FROM documents JOIN r ON doc_id % 9 = i")
+@query(
+    "kana_alternatives",
+    f"""WITH w AS (SELECT p_partkey, translate(p_name, '{LETTERS}', '{SIGNS}') AS word FROM part), c AS (
+  SELECT *, [{", ".join(f"CASE WHEN regexp_matches(word, '{p}') THEN regexp_replace(word, '{p}', '{t.replace('$', chr(92))}', 'g') END" for p, t in READING_RULES)}] AS c,
+    CASE WHEN p_partkey % 3 = 0 THEN [regexp_replace(word, '^か', 'が'), regexp_replace(word, '^さ', 'ざ'), regexp_replace(word, 'っ', '', 'g')] ELSE [] END AS taken FROM w)
+SELECT p_partkey, word, coalesce(list_filter(c, lambda x: x IS NOT NULL AND x <> word AND NOT list_contains(taken, x) AND length(x) >= 2)[1], word || 'ー') AS altered FROM c""",
+)
 def kana_alternatives(spark, sf):
-    pick = lambda k: F.expr("element_at(array(" + ", ".join(f"'{r[k]}'" for r in READINGS) + "), cast(doc_id % 9 + 1 AS int))")
-    return table(spark, sf, "documents").select("doc_id", pick(0).alias("word"), kana.kana_alternative(pick(0), F.array(pick(1))).alias("altered"))
+    """The names of parts as readings; for every third one, some alterations are taken."""
+    word = F.translate("p_name", LETTERS, SIGNS)
+    taken = F.when(F.col("p_partkey") % 3 == 0, F.array(F.regexp_replace(word, "^か", "が"), F.regexp_replace(word, "^さ", "ざ"), F.regexp_replace(word, "っ", ""))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "part").select("p_partkey", word.alias("word"), alternatives.altered_reading(word, taken, READING_RULES, 2).alias("altered"))
 
 
 @query("kanji_alternatives", "SELECT doc_id, ['丹い', '三丹', '字書', NULL][doc_id % 4 + 1] AS altered FROM documents")
 def kanji_alternatives(spark, sf):
-    table_ = {"丸": ["九", "丹"], "二": ["三"]}
     word = F.expr("element_at(array('丸い', '二丹', '本書', 'かな'), cast(doc_id % 4 + 1 AS int))")
-    return table(spark, sf, "documents").select("doc_id", kana.kanji_alternative(word, F.array(F.lit("九い")), table_).alias("altered"))
+    return table(spark, sf, "documents").select("doc_id", alternatives.lookalike(word, F.array(F.lit("九い")), {"丸": ["九", "丹"], "二": ["三"]}, ["字"]).alias("altered"))
 
 
 def _quoted(x: str) -> str:
