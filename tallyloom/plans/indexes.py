@@ -1,13 +1,14 @@
-"""Registered queries: search by posting lists, near-duplicate questions, tables of rules, trees and spans, samples."""
+"""Registered queries: search by posting lists, near-duplicate questions, tables of rules, trees and spans, samples, merged summaries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import intervals, near_questions, retrieval, rules, sampling, search_index, streaks
+from tallyloom.operators import intervals, near_questions, retrieval, rules, sampling, search_index, streaks, summaries
 from tallyloom.operators.ordering import ranked
 from tallyloom.plans.content import NORM_SQL, search_sql
 from tallyloom.plans.learning import DAYS_SQL, TODAY
+from tallyloom.sources.shared import materialize
 from tallyloom.sources.tables import ATTEMPTS_SQL, QUESTIONS_SQL, attempts, questions, table
 
 QUERIES: dict = {}
@@ -165,3 +166,33 @@ ORACLE_SQL |= {
     "exam_quotas": f"WITH {QUESTIONS_SQL}, k(group_id, k) AS (VALUES {', '.join(f"('{g}', {n})" for g, n in QUOTAS.items())}) SELECT id, group_id, row_number() OVER w AS draw FROM questions JOIN k USING (group_id) WINDOW w AS (PARTITION BY group_id ORDER BY md5('exam:' || id), id) QUALIFY draw <= k",
     "samples_merged": f"WITH {QUESTIONS_SQL} SELECT id, group_id, status, row_number() OVER w AS draw FROM questions WINDOW w AS (PARTITION BY group_id, status ORDER BY md5('s:' || id), id) QUALIFY draw <= 4",
 }
+
+#: Days before the last one that a window of the report takes in.
+WINDOWS = {"day": 1, "week": 7, "month": 30}
+
+
+def answer_times(spark, sf):
+    """Answer time (median and 95th of a hundred) and active learners by group, by category and over all, for three windows, from daily summaries stored once."""
+    bank = questions(spark, sf).select("id", "group_id", "category")
+    log = attempts(spark, sf).select("question_id", "learner_id", "elapsed_ms", F.to_date("created_at").alias("day"))
+    rows = log.join(bank, F.col("question_id") == F.col("id"))
+    stored = materialize(summaries.summarize(rows, ["group_id", "category", "day"], "elapsed_ms", "learner_id"), "daily")
+    windows = {name: F.col("day").between(F.date_sub(F.lit(TODAY).cast("date"), n - 1), F.lit(TODAY).cast("date")) for name, n in WINDOWS.items()}
+    made = summaries.report(stored, [["group_id"], ["category"], []], windows, [50, 95])
+    return made.select("window", "group_id", "category", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "members")
+
+
+QUERIES["answer_times"] = answer_times
+_REST = summaries.BITS - summaries.REGISTER_BITS
+_CELL = f"CASE WHEN {{x}} <= 0 THEN 0.0 ELSE 2 * pow({summaries.BASE!r}, ceil(ln({{x}}::DOUBLE) / ln({summaries.BASE!r}))) / ({summaries.BASE!r} + 1) END"
+ORACLE_SQL["answer_times"] = f"""WITH {ATTEMPTS_SQL}, {QUESTIONS_SQL}, b AS (SELECT group_id, category, CAST(created_at AS DATE) AS day, elapsed_ms, learner_id, ('0x' || substr(md5(learner_id::VARCHAR), 1, {summaries.BITS // 4}))::BIGINT AS h FROM attempts JOIN questions ON question_id = id),
+w(name, days) AS (VALUES {", ".join(f"('{k}', {n})" for k, n in WINDOWS.items())}),
+x AS (SELECT name AS win, b.* FROM b JOIN w ON day > DATE '{TODAY}' - days AND day <= DATE '{TODAY}'),
+l AS (SELECT win, group_id, NULL AS category, elapsed_ms, h FROM x UNION ALL SELECT win, NULL, category, elapsed_ms, h FROM x UNION ALL SELECT win, NULL, NULL, elapsed_ms, h FROM x),
+s AS (SELECT win, group_id, category, list_sort(list(elapsed_ms)) AS v FROM l GROUP BY ALL),
+r AS (SELECT win, group_id, category, h >> {_REST} AS cell, max(CASE WHEN (h & {(1 << _REST) - 1}) = 0 THEN {_REST + 1} ELSE {_REST} - floor(log2((h & {(1 << _REST) - 1})::DOUBLE)) END) AS rho FROM l GROUP BY ALL),
+d AS (SELECT win, group_id, category, sum(pow(2.0, -rho)) AS s, {summaries.REGISTERS} - count(*) AS empty FROM r GROUP BY ALL),
+e AS (SELECT *, {0.7213 / (1 + 1.079 / summaries.REGISTERS) * summaries.REGISTERS**2!r} / (s + empty) AS raw FROM d)
+SELECT s.win AS "window", s.group_id, s.category, len(v) AS n, round({_CELL.format(x="v[(50 * (len(v) - 1)) // 100 + 1]")}, 6) AS p50, round({_CELL.format(x="v[(95 * (len(v) - 1)) // 100 + 1]")}, 6) AS p95,
+  floor(CASE WHEN raw <= {2.5 * summaries.REGISTERS} AND empty > 0 THEN {summaries.REGISTERS} * ln({float(summaries.REGISTERS)} / empty) ELSE raw END + 0.5)::BIGINT AS members
+FROM s JOIN e ON s.win = e.win AND s.group_id IS NOT DISTINCT FROM e.group_id AND s.category IS NOT DISTINCT FROM e.category"""
