@@ -1,4 +1,4 @@
-"""Registered queries: versions of the stored state."""
+"""Registered queries: versions of the stored state, and the log in files by day and key."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import state
 from tallyloom.plans.learning import ORACLE_SQL as LEARNING_SQL
 from tallyloom.plans.learning import STATE_COLUMNS
+from tallyloom.sources.log_layout import LogLayout
 from tallyloom.sources.shared import shared_dir
 from tallyloom.sources.tables import ATTEMPTS_SQL, MODEL_SQL, attempts, questions
 from tallyloom.sources.versions import Store, transact
@@ -53,8 +54,27 @@ def recorded_attempts(spark, sf):
     return store.read("question_stats").join(log_counts, F.col("question_id") == F.col("_id")).drop("_id", "bookmarked")
 
 
-QUERIES = {"versioned_merge": versioned_merge, "recorded_attempts": recorded_attempts}
+def stored_log(spark, sf) -> LogLayout:
+    """The log written in two parts, in files of a few thousand rows."""
+    layout = LogLayout(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}", "question_id", "created_at", 4096)
+    log = attempts(spark, sf).drop("place")
+    return layout.add(log.where("attempt_id % 4 <> 0")).add(log.where("attempt_id % 4 = 0"))
+
+
+def log_days(spark, sf):
+    """Attempts of each day, from what is written about the files."""
+    return stored_log(spark, sf).counts().select("day", F.col("rows").alias("attempts"))
+
+
+def log_slice(spark, sf):
+    """A week of some questions: the days and the key range choose the files."""
+    return stored_log(spark, sf).read("2024-01-08", "2024-01-14", 20, 39).select("attempt_id", "question_id", "learner_id", "is_correct", "created_at")
+
+
+QUERIES = {"log_days": log_days, "log_slice": log_slice, "versioned_merge": versioned_merge, "recorded_attempts": recorded_attempts}
 ORACLE_SQL = {
+    "log_days": f"WITH {ATTEMPTS_SQL} SELECT CAST(created_at AS DATE) AS day, count(*) AS attempts FROM attempts GROUP BY 1",
+    "log_slice": f"WITH {ATTEMPTS_SQL} SELECT attempt_id, question_id, learner_id, is_correct, created_at FROM attempts WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND question_id BETWEEN 20 AND 39",
     "versioned_merge": f"""WITH {ATTEMPTS_SQL.replace("attempts AS", "early AS", 1)}, b AS (SELECT question_id, count(*) AS before FROM early WHERE attempt_id % 3 <> 0 GROUP BY question_id),
 m AS ({LEARNING_SQL["merge_stats"]}) SELECT m.*, before FROM m LEFT JOIN b USING (question_id)""",
     "recorded_attempts": f"{MODEL_SQL} SELECT {STATE_COLUMNS}, review_due_at, attempt_count AS logged FROM stats",

@@ -45,9 +45,20 @@ def stats_fold(spark, sf):
     return state.fold(attempts(spark, sf).withColumn("redo", F.lit(False)), "question_id")
 
 
-@query("stats_fold_redo")
+@query(
+    "stats_fold_redo",
+    f"""WITH RECURSIVE {ATTEMPTS_SQL}, a AS MATERIALIZED (SELECT *, attempt_id % 2 = 0 AS redo, row_number() OVER (PARTITION BY learner_id, question_id ORDER BY created_at, attempt_id) AS n FROM attempts),
+f AS (
+  SELECT learner_id, question_id, n, 1::BIGINT AS attempt_count, is_correct::BIGINT AS correct_count, 0::BIGINT AS wrong_count, CASE WHEN NOT is_correct THEN 1 WHEN redo THEN 3 ELSE 2 END::BIGINT AS mastery, is_correct AS last_correct, created_at AS last_attempt_at FROM a WHERE n = 1
+  UNION ALL
+  SELECT a.learner_id, a.question_id, a.n, attempt_count + 1, correct_count + a.is_correct::BIGINT, CASE WHEN a.redo AND a.is_correct THEN 0 ELSE wrong_count + (NOT a.is_correct)::BIGINT END,
+    CASE WHEN NOT a.is_correct THEN 1 WHEN a.redo THEN greatest(3, least(5, mastery + 1)) WHEN mastery < 1 THEN 2 ELSE least(5, mastery + 1) END::BIGINT, a.is_correct, a.created_at
+  FROM f JOIN a ON f.learner_id = a.learner_id AND f.question_id = a.question_id AND a.n = f.n + 1
+)
+SELECT * EXCLUDE (n) FROM f QUALIFY row_number() OVER (PARTITION BY learner_id, question_id ORDER BY n DESC) = 1""",
+)
 def stats_fold_redo(spark, sf):
-    """Every second attempt of a learner's question in redo mode; no closed form, so tested by brute force."""
+    """Every second attempt of a learner's question in redo mode, which has no closed form: the SQL goes attempt by attempt."""
     return state.fold(attempts(spark, sf).withColumn("redo", F.col("attempt_id") % 2 == 0), "learner_id", "question_id")
 
 
