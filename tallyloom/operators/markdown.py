@@ -120,6 +120,11 @@ def tracked_blocks(lines: DataFrame, sections: list[tuple[str, str]], header: st
     return found.select("file", "group", "section_no", "part", "header", F.transform("rows", lambda r: r["line"]).alias("body"))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with new columns that are computed once, however often they are used: a generated row is not folded into what uses it."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def bold_questions(found: DataFrame, variant: str) -> DataFrame:
     """Questions of `tracked_blocks`, numbered within their section; blocks without a usable answer are left out.
 
@@ -130,20 +135,21 @@ def bold_questions(found: DataFrame, variant: str) -> DataFrame:
     answer = "^\\*\\*答案\\*\\*\\s*[:：]\\s*(.+?)\\s*$"
     place = lambda lines, pattern: F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True), F.lit(0)).cast("int")
     upto = lambda lines, at: F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
-    rows = found.withColumn("at", place(body, answer)).where("at > 0")
-    rows = rows.withColumns({"raw": F.trim(F.regexp_extract(F.get("body", F.col("at") - 1), answer, 1)), "before": F.filter(upto(body, F.col("at")), lambda x: x != ""), "after": F.slice(body, F.col("at") + 1, F.size(body))})
-    rows = rows.withColumn("after", upto(F.col("after"), place(F.col("after"), "^\\*\\*答案")))
+    rows = once(found, at=place(body, answer)).where("at > 0")
+    rows = once(rows, raw=F.trim(F.regexp_extract(F.get("body", F.col("at") - 1), answer, 1)), before=F.filter(upto(body, F.col("at")), lambda x: x != ""), rest=F.slice(body, F.col("at") + 1, F.size(body)))
     option = "^[A-J][.、）)]"
     parts = F.flatten(F.transform(F.filter("before", lambda x: x.rlike(option)), lambda x: F.filter(F.transform(F.split(x, "(?=[A-J][.、）)])"), lambda p: F.trim(p)), lambda p: p.rlike(option if variant == "party" else "^[A-J][.、)]"))))
-    read = F.array_compact(F.transform(parts, lambda p: answers.parse_option(p)))
-    first = F.filter(read, lambda o, i: F.array_position(F.transform(read, lambda x: x["key"]), o["key"]) == i + 1)
+    rows = once(rows, after=upto(F.col("rest"), place(F.col("rest"), "^\\*\\*答案")), parts=parts)
     told = "^\\*\\*解析\\*\\*\\s*[:：]\\s*(.*)$"
-    at_told = place(F.col("after"), told)
+    rows = once(rows, given=F.array_compact(F.transform("parts", lambda p: answers.parse_option(p))), at_told=place(F.col("after"), told))
+    rows = once(rows, keys=F.transform("given", lambda x: x["key"]))
+    first = F.filter("given", lambda o, i: F.array_position("keys", o["key"]) == i + 1)
+    at_told = F.col("at_told")
     long = trim_end(F.regexp_replace(F.concat_ws("\n", F.trim(F.regexp_extract(F.get("after", at_told - 1), told, 1)), F.array_join(F.slice("after", at_told + 1, F.size("after")), "\n")), "\n{3,}", "\n\n"))
     short = F.array_join(F.transform(F.filter("after", lambda x: x != ""), lambda x: F.regexp_replace(x, "^\\*\\*(.+?)\\*\\*$", "$1")), "\n")
     words = F.concat(F.array(F.regexp_extract("header", BOLD_HEADER, 2)), upto(F.col("before"), place(F.col("before"), option)))
-    rows = rows.select("file", "group", "section_no", "part", "raw", F.trim(F.regexp_replace(F.array_join(words, " "), "(?U)\\s+", " ")).alias("stem"), first.alias("read"), F.trim(F.when(at_told > 0, long).otherwise(short)).alias("explanation"))
-    rows = rows.withColumn("typed", answers.detect_answer(F.col("raw"), F.col("read"), variant=variant))
+    rows = once(rows, read=first, stem=F.trim(F.regexp_replace(F.array_join(words, " "), "(?U)\\s+", " ")), explanation=F.trim(F.when(at_told > 0, long).otherwise(short)))
+    rows = once(rows, typed=answers.detect_answer(F.col("raw"), F.col("read"), variant=variant)).select("file", "group", "section_no", "part", "raw", "stem", "read", "explanation", "typed")
     kind, normalized, options = F.col("typed.kind"), F.col("typed.normalized"), F.col("read")
     known = F.forall(F.filter(F.split(normalized, ""), lambda k: k != ""), lambda k: F.exists(options, lambda o: o["key"] == k))
     usable = (kind != "skip") & (~kind.isin("single", "multi") | known)
