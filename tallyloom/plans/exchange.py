@@ -1,4 +1,4 @@
-"""Registered queries: versions of the stored state, and the log in files by day and key."""
+"""Registered queries: versions of the stored state, the log in files by day and key, Markdown files."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import state
+from tallyloom.operators import markdown, state
+from tallyloom.plans.content import ORACLE_SQL as CONTENT_SQL
+from tallyloom.plans.content import markdown_files
 from tallyloom.plans.learning import ORACLE_SQL as LEARNING_SQL
 from tallyloom.plans.learning import STATE_COLUMNS
 from tallyloom.sources.log_layout import LogLayout
+from tallyloom.sources.markdown_files import read_lines, write_files
 from tallyloom.sources.shared import shared_dir
 from tallyloom.sources.tables import ATTEMPTS_SQL, MODEL_SQL, attempts, questions
 from tallyloom.sources.versions import Store, transact
@@ -71,8 +74,17 @@ def log_slice(spark, sf):
     return stored_log(spark, sf).read("2024-01-08", "2024-01-14", 20, 39).select("attempt_id", "question_id", "learner_id", "is_correct", "created_at")
 
 
-QUERIES = {"log_days": log_days, "log_slice": log_slice, "versioned_merge": versioned_merge, "recorded_attempts": recorded_attempts}
+def parse_files(spark, sf):
+    """The blocks of Markdown files that were written, and read again in splits."""
+    path = f"{shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    write_files(markdown_files(spark, sf), path)
+    found = markdown.typed_questions(markdown.blocks(read_lines(spark, path), "^###\\s+\\d+\\."), "^###\\s+\\d+\\.\\s*(.+)$")
+    return found.select("file", "section", "block", "stem", F.size("options").alias("n_options"), "kind", "answer_key", "answer_text", "explanation")
+
+
+QUERIES = {"parse_files": parse_files, "log_days": log_days, "log_slice": log_slice, "versioned_merge": versioned_merge, "recorded_attempts": recorded_attempts}
 ORACLE_SQL = {
+    "parse_files": CONTENT_SQL["parse_blocks"],
     "log_days": f"WITH {ATTEMPTS_SQL} SELECT CAST(created_at AS DATE) AS day, count(*) AS attempts FROM attempts GROUP BY 1",
     "log_slice": f"WITH {ATTEMPTS_SQL} SELECT attempt_id, question_id, learner_id, is_correct, created_at FROM attempts WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' AND question_id BETWEEN 20 AND 39",
     "versioned_merge": f"""WITH {ATTEMPTS_SQL.replace("attempts AS", "early AS", 1)}, b AS (SELECT question_id, count(*) AS before FROM early WHERE attempt_id % 3 <> 0 GROUP BY question_id),

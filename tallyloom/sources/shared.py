@@ -6,6 +6,8 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir().name
 
 
+#: Folders written in the runs under way, innermost last.
+_runs: list[list[str]] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that `materialize` wrote within it when it ends: write or collect results inside."""
+    folders: list[str] = []
+    _runs.append(folders)
+    try:
+        yield
+    finally:
+        _runs.remove(folders)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _runs:
+        _runs[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,6 @@
 """Places, folds and trees in small blocks, shared folders and guards: what large inputs need, on small ones."""
 
+import os
 import random
 
 import pytest
@@ -122,3 +123,16 @@ def test_backup_without_version_and_repeated_ids(spark):
     assert banks.add_questions(rows, spark.createDataFrame([(2,)], "id long")).count() == 2
     with pytest.raises(ValueError, match="twice"):
         banks.add_questions(rows, rows)
+
+
+def test_a_run_leaves_no_folders(spark):
+    names = lambda: set(os.listdir(shared.shared_dir(spark)))
+    before = names()
+    kept = shared.materialize(spark.range(3), "kept")
+    with shared.run_scope(spark):
+        inner = shared.materialize(spark.range(5), "inner")
+        with pytest.raises(ZeroDivisionError), shared.run_scope(spark):
+            shared.materialize(spark.range(7), "failed")
+            raise ZeroDivisionError
+        assert inner.count() == 5 and {n.split("-")[0] for n in names() - before} == {"kept", "inner"}
+    assert kept.count() == 3 and {n.split("-")[0] for n in names() - before} == {"kept"}
