@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import alternatives, answers, prompts, text
-from tallyloom.operators import markdown, quality
+from tallyloom.operators import history, markdown, quality
 from tallyloom.plans.content import BLANK_SQL, FILE, FILE_SQL, KEYED_SQL, NORM_PARSER_SQL, NORM_SQL, markdown_files, options_of
 from tallyloom.sources.tables import QUESTIONS_SQL, questions, table
 
@@ -70,6 +70,38 @@ def military_questions(spark, sf):
     return found.select("file", "group", "number", "stem", F.size("options").alias("n_options"), "kind", "answer_key", "answer_text", "explanation")
 
 
+HISTORY_SECTION = "element_at(array('## 第一套', '## 第一套 again\n\n### 填空题', '## 第三章 x', '## 第二套 y', '### 填空题（模拟）'), cast(p_partkey % 5 + 1 AS int))"
+HISTORY_BODY = """CASE p_partkey % 7
+  WHEN 0 THEN concat('and  more\nA. ', p_brand, ' B. ', p_type, ' C、x\nlate line\n**答案：A**') WHEN 1 THEN concat('A. ', p_brand, '\nB. ', p_type, '\nC) x\nC. y\n**答案: CA **') WHEN 2 THEN 'A. 正确\nB. 错误\n**答案：A**'
+  WHEN 3 THEN '**答案：错**' WHEN 4 THEN 'A. no answer\nB. y' WHEN 5 THEN 'A. x\nB. y\n**答案：AD**' ELSE 'A. x\nB. y\n\n**答案：D**' END"""
+HISTORY_TOLD = "CASE WHEN p_partkey % 2 = 0 THEN concat('bold\n**解析：** because ', p_size, '\n\n\n\nmore', CASE WHEN p_partkey % 7 = 4 THEN '' ELSE '\n**答案：B**\nnot read' END) ELSE concat('**bold note**\n\nplain ', p_size) END"
+HISTORY_BLOCK = f"""concat(replace(concat(CASE WHEN p_partkey % 3 = 1 THEN '> #### ' ELSE '### ' END, p_partkey, CASE WHEN p_partkey % 3 = 2 THEN '、' ELSE '. ' END, '[来源：a.md] ', p_name, '（B）\n', {HISTORY_BODY}, '\n\n', {HISTORY_TOLD}),
+  '\n', CASE WHEN p_partkey % 3 = 1 THEN '\n> ' ELSE '\n' END), '\n---\nafter the rule')"""
+
+
+@query(
+    "history_questions",
+    f"""WITH p AS (SELECT *, {FILE_SQL} AS file, p_partkey % 5 AS s, p_partkey % 7 AS a, p_partkey // 500 % 2 = 0 AS subsets FROM part), t AS (
+  SELECT *, CASE WHEN NOT subsets THEN 0 WHEN s >= 3 AND bool_or(s = 3) OVER w THEN 3 WHEN s >= 1 AND bool_or(s = 1) OVER w THEN 2 WHEN bool_or(s = 0) OVER w THEN 1 ELSE 0 END AS set_no,
+    s = 1 OR (s >= 3 AND bool_or(s = 1) OVER w AND NOT bool_or(s = 2) OVER w AND (NOT subsets OR (s = 4 AND NOT bool_or(s = 3) OVER w))) AS fill FROM p WINDOW w AS (PARTITION BY file)
+), k AS (SELECT * FROM t WHERE a <> 4 AND (a <> 5 OR fill))
+SELECT file, file || ['', '-1', '-1', '-2'][set_no + 1] AS "group", 'bank ' || file || ['', ' 第一套', ' 第一套', ' 第二套'][set_no + 1] AS title,
+  row_number() OVER (PARTITION BY file, set_no ORDER BY s, p_partkey) AS number,
+  p_name || CASE WHEN NOT fill THEN CASE a WHEN 0 THEN ' and more' ELSE '' END ELSE CASE a WHEN 0 THEN ' and more A. ' || p_brand || ' B. ' || p_type || ' C、x late line' WHEN 1 THEN ' A. ' || p_brand || ' B. ' || p_type || ' C) x C. y'
+    WHEN 2 THEN ' A. 正确 B. 错误' WHEN 3 THEN '' ELSE ' A. x B. y' END END AS stem,
+  CASE WHEN fill THEN 0 ELSE [3, 3, 2, 2, 0, 0, 2][a + 1] END AS n_options, CASE WHEN fill THEN 'fill' ELSE ['single', 'multi', 'judgement', 'judgement', '', '', 'single'][a + 1] END AS kind,
+  CASE WHEN fill THEN 'FILL' ELSE ['A', 'AC', 'A', 'B', '', '', 'D'][a + 1] END AS answer_key,
+  CASE WHEN fill THEN ['A', 'CA', 'A', '错', '', 'AD', 'D'][a + 1] ELSE CASE a WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' / x' WHEN 2 THEN '正确' WHEN 3 THEN '错误' ELSE '' END END AS answer_text,
+  CASE WHEN p_partkey % 2 = 0 THEN 'because ' || p_size || chr(10) || chr(10) || 'more' ELSE 'bold note' || chr(10) || 'plain ' || p_size END AS explanation FROM k""",
+)
+def history_questions(spark, sf):
+    """Files with an even number have sub-sets; in the others these headings are lines like any other."""
+    files = files_of(spark, sf, HISTORY_SECTION, HISTORY_BLOCK)
+    specs = files.select("file", F.col("file").alias("group"), F.concat(F.lit("bank "), "file").alias("title"), (F.substring_index("file", "/", -1).cast("int") % 2 == 0).alias("subsets"))
+    found = history.history_questions(history.marked_blocks(markdown.lines_of(files), specs))
+    return found.select("file", "group", "title", "number", "stem", F.size("options").alias("n_options"), "kind", "answer_key", "answer_text", "explanation")
+
+
 @query(
     "scoped_blocks",
     f"""WITH p AS (SELECT *, {FILE_SQL} AS file FROM part WHERE p_partkey % 5 = 1) SELECT file, count(*) AS blocks, count(*) * 10 AS body_lines FROM p GROUP BY file""",
