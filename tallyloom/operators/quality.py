@@ -26,11 +26,24 @@ def duplicate_summary(questions: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_keys"), F.count_if(F.col("n") > 1).alias("clusters"), (F.sum("n") - F.count("*")).alias("extra_copies"), F.count_if((F.col("n") > 1) & (F.col("groups") > 1)).alias("across_groups"), percent.alias("extra_percent"))
 
 
+#: Groups of a key that one task pairs with all others.
+SPLIT = 4096
+
+
 def group_pairs(questions: DataFrame, n: int = 15) -> DataFrame:
-    """The `n` pairs of groups that share most stems. Each key lists its groups once, so pairs grow with groups, not rows."""
-    places = keyed(questions).select("key", "group_id").distinct()
-    left, right = places.withColumnRenamed("group_id", "first"), places.withColumnRenamed("group_id", "second")
-    pairs = left.join(right, "key").where("first < second").groupBy("first", "second").agg(F.count("*").alias("shared"))
+    """The `n` pairs of groups that share most stems. Each key lists its groups once, so pairs grow with groups, not rows.
+
+    Keys with the same set of groups fold into one with a weight, so copied sets of stems pair their groups once; the
+    groups of a key that many have are paired in parts of about `SPLIT`. Sets are told apart by two sums of hashes.
+    """
+    places = keyed(questions).where("group_id IS NOT NULL").select("key", "group_id").distinct()
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "group_id").cast("decimal(20,0)"))
+    sets = places.groupBy("key").agg(F.count("*").alias("size"), total(1).alias("one"), total(2).alias("two")).where("size > 1")
+    classes = sets.groupBy("size", "one", "two").agg(F.min("key").alias("key"), F.count("*").alias("weight"))
+    rows = places.join(classes.select("key", "weight", F.ceil(F.col("size") / SPLIT).cast("int").alias("parts")), "key")
+    left = rows.select("key", F.col("group_id").alias("first"), F.pmod(F.xxhash64("group_id"), F.col("parts")).cast("int").alias("part"), "weight")
+    right = rows.select("key", F.col("group_id").alias("second"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["key", "part"]).where("first < second").groupBy("first", "second").agg(F.sum("weight").alias("shared"))
     return pairs.orderBy(F.desc("shared"), "first", "second").limit(n)
 
 

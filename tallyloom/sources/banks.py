@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tallyloom.sources.shared import materialize
 
 #: Tables of a backup; others are ignored.
 BACKUP_TABLES = ("attempts", "questionStats", "tagStats", "sessions", "settings")
@@ -135,13 +138,28 @@ def guarded_import(backup: Callable[[], None], load: Callable[[], None], restore
         raise
 
 
-def stream_text(chunks: DataFrame, path: str = "$.choices[0].delta.content") -> DataFrame:
-    """(stream, text): the tokens of server-sent events (stream, at, chunk) in order.
+def stream_events(chunks: DataFrame, path: str = "$.choices[0].delta.content") -> DataFrame:
+    """(stream, line, token): the tokens of server-sent events (stream, at, chunk), numbered by line; null for lines without one.
 
-    Chunks may cut lines; they are joined before the split. Lines without `data: `, the end mark and bad
-    JSON are left out. Path of the other dialect: `$.delta.text`.
+    Chunks may cut lines. A line's number is the count of line ends before it, from sums over ranges of sorted chunks, so
+    a stream of any length spreads over tasks and a row holds the pieces of one line only. Lines without `data: `, the end
+    mark and bad JSON have no token. Null chunks are empty. Path of the other dialect: `$.delta.text`.
     """
-    whole = chunks.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk"))), lambda c: c["chunk"]), "").alias("body"))
-    data = F.filter(F.transform(F.split("body", "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("data: ")) & (x != "data: [DONE]"))
-    tokens = F.transform(data, lambda x: F.coalesce(F.get_json_object(F.substring(x, 7, 1 << 30), path), F.lit("")))
-    return whole.select("stream", F.array_join(tokens, "").alias("text"))
+    ordered = chunks.select("stream", "at", F.coalesce("chunk", F.lit("")).alias("chunk")).orderBy("stream", "at", "chunk")
+    placed = materialize(ordered.select("stream", F.split("chunk", "\n").alias("pieces")).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "chunks")
+    ends = F.size("pieces") - 1
+    sums = placed.groupBy("stream", "_part").agg(F.sum(ends).alias("n"))
+    before = sums.select("stream", "_part", (F.sum("n").over(Window.partitionBy("stream").orderBy("_part")) - F.col("n")).alias("before"))
+    so_far = F.sum(ends).over(Window.partitionBy("stream", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)) - ends
+    joined = placed.withColumn("so_far", so_far).alias("c").join(before.alias("b"), F.col("c.stream").eqNullSafe(F.col("b.stream")) & (F.col("c._part") == F.col("b._part")))
+    rows = joined.select("c.stream", "_at", (F.col("before") + F.col("so_far")).alias("first"), F.posexplode("pieces").alias("i", "piece"))
+    lines = rows.groupBy("stream", (F.col("first") + F.col("i")).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    data = F.trim("text")
+    token = F.when(F.startswith(data, F.lit("data: ")) & (data != "data: [DONE]"), F.get_json_object(F.substring(data, 7, 1 << 30), path))
+    return lines.select("stream", "line", token.alias("token"))
+
+
+def stream_text(chunks: DataFrame, path: str = "$.choices[0].delta.content") -> DataFrame:
+    """(stream, text): the tokens of `stream_events` in order; a stream without tokens has an empty text."""
+    tokens = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("line", "token"))))
+    return stream_events(chunks, path).groupBy("stream").agg(F.array_join(F.transform(tokens, lambda x: x["token"]), "").alias("text"))

@@ -1,5 +1,6 @@
 """Places, folds and trees in small blocks, shared folders and guards: what large inputs need, on small ones."""
 
+import json
 import os
 import random
 
@@ -136,3 +137,51 @@ def test_a_run_leaves_no_folders(spark):
             raise ZeroDivisionError
         assert inner.count() == 5 and {n.split("-")[0] for n in names() - before} == {"kept", "inner"}
     assert kept.count() == 3 and {n.split("-")[0] for n in names() - before} == {"kept"}
+
+
+@pytest.mark.parametrize("split", [3, 4096])
+def test_pairs_of_groups_equal_brute_force(spark, monkeypatch, split):
+    monkeypatch.setattr(quality, "SPLIT", split)
+    rng = random.Random(split)
+    # a blank stem that all groups have, copied sets of stems, stems of a few groups, null stems and groups
+    rows = [(f"g{g}", "") for g in range(20)] + [(f"g{g}", f"copy {k}") for g in range(3) for k in range(30)] + [(f"g{rng.randrange(20)}", f"stem {rng.randrange(60)}") for _ in range(200)]
+    rows += [("g1", None), ("g2", None), (None, "copy 1"), ("g1", "copy 1")]
+    got = [tuple(r) for r in quality.group_pairs(spark.createDataFrame(rows, "group_id string, stem string").repartition(6), 400).collect()]
+    having = {}
+    for group, stem in rows:
+        if group is not None:
+            having.setdefault((stem or "").replace(" ", ""), set()).add(group)
+    shared = {}
+    for groups in having.values():
+        for a in groups:
+            for b in groups:
+                if a < b:
+                    shared[a, b] = shared.get((a, b), 0) + 1
+    assert got == sorted(((a, b, n) for (a, b), n in shared.items()), key=lambda x: (-x[2], x[0], x[1]))[:400]
+
+
+def test_stream_of_chunks_cut_anywhere(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for stream in (None, "a", "b", "c", "hot"):
+        said, lines = [], ["event: note", "", "data: [DONE]", "data: {bad", " data: {}  "]
+        for k in range(2000 if stream == "hot" else 40 if stream else 3):
+            token = rng.choice(["x", "two words", "line\nbreak", "", "漢字", "data: no"])
+            said.append(token)
+            lines.insert(rng.randrange(len(lines) + 1) if k % 7 == 0 else len(lines), json.dumps({"choices": [{"delta": {"content": token, "at": k}}]}).join(["data: ", ""]))
+        body = "\n".join(lines)
+        order = [json.loads(x[6:])["choices"][0]["delta"]["content"] for x in lines if x.startswith("data: {\"choices")]
+        assert sorted(order) == sorted(said)
+        want[stream] = "".join(order)
+        at = 0
+        while body:
+            n = rng.randrange(1, 60)
+            rows.append((stream, at, body[:n], 0))
+            body, at = body[n:], at + 1
+        rows.append((stream, at, None, 1))
+    rows.append(("silent", 0, "event: none", 0))
+    chunks = spark.createDataFrame(rows, "stream string, at long, chunk string, line int").repartition(9)
+    assert {r.stream: r.text for r in banks.stream_text(chunks).collect()} == want | {"silent": ""}
+    longest = banks.stream_events(chunks).groupBy("stream", "line").count().agg(F.max("count")).first()[0]
+    assert longest == 1
+    assert banks.stream_text(chunks.limit(0)).count() == 0
