@@ -1,7 +1,7 @@
 """Questions whose stems are nearly equal: an exact set-similarity join over character grams of the normalized stem.
 
-Equal stems are one class, so copies cost one set. Grams are ordered by how many classes have them, rarest first. Two
-sets of n and m grams at a Jaccard similarity of t or more share at least t / (1 + t) * (n + m) of them, hence one among the first
+Equal stems are one class, so copies cost one set. Grams get whole numbers by how many classes have them, rarest first, and sets
+become sorted numbers: joins, counts and intersections work on these. Two sets of n and m grams at a Jaccard similarity of t or more share at least t / (1 + t) * (n + m) of them, hence one among the first
 n - ceil(t * n) + 1 of each: only these prefixes meet in an equi-join. A pair goes on if the sizes allow the similarity (length
 filter), and if the shared grams of the prefixes and all that comes after the place where the first of the two ends can reach the
 overlap (position filter). Then whole sets are compared. No pair is lost.
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import char_grams, norm_audit
+from tallyloom.operators.markdown import once
+from tallyloom.operators.ordering import ranked
 from tallyloom.operators.quality import keyed
 from tallyloom.sources.shared import checked_broadcast, materialize
 
@@ -33,20 +35,24 @@ def classes(questions: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id")
 
 
+def coded(sets: DataFrame) -> DataFrame:
+    """(class_id, codes): every set as sorted numbers of its grams, from the rarest gram to the most frequent one."""
+    grams = sets.select("class_id", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    numbered = materialize(ranked(counts, [F.asc("n"), F.asc("gram")], name="code").select(F.col("gram").alias("_gram"), "code"), "gram_codes")
+    named = grams.join(checked_broadcast(numbered), F.col("gram") == F.col("_gram"))
+    return named.groupBy("class_id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+
+
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(class_id, size, held, last, gram): the first `held` grams of every set, of which a similar set shares one; `last` orders the last of them."""
-    grams = sets.select("class_id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    counts = materialize(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram_counts").withColumnRenamed("gram", "_gram")
-    weighed = grams.join(checked_broadcast(counts), F.col("gram") == F.col("_gram"))
-    ordered = weighed.groupBy("class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ordered"))
-    needed = F.expr(f"(size * {percent} + 99) div 100").cast("int")
-    first = ordered.select("class_id", "size", F.slice("ordered", F.lit(1), F.col("size") - needed + 1).alias("first"))
-    placed = first.select("class_id", "size", F.size("first").alias("held"), F.element_at("first", -1).alias("last"), F.explode("first").alias("x"))
-    return placed.select("class_id", "size", "held", "last", F.col("x.gram").alias("gram"))
+    """(class_id, size, held, last, gram): the first `held` codes of every set, of which a similar set shares one; `last` is the last of them."""
+    sized = sets.select("class_id", "codes", F.size("codes").alias("size"))
+    held = F.expr(f"size - (size * {percent} + 99) div 100 + 1").cast("int")
+    return sized.select("class_id", "size", held.alias("held"), F.get("codes", held - 1).alias("last"), F.explode(F.slice("codes", F.lit(1), held)).alias("gram"))
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of classes that the filters let through, once each; a has the smaller set, or the smaller id of equal ones."""
+    """(a, b): pairs of classes of `coded` sets that the filters let through, once each; a has the smaller set, or the smaller id of equal ones."""
     held = materialize(prefixes(sets, percent), "prefixes")
     side = lambda s: held.select(F.col("class_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "held", "last", "gram")])
     overlap = F.expr(f"((size_a + size_b) * {percent} + {99 + percent}) div {100 + percent}")  # ceil(t / (1 + t) * (sizes))
@@ -66,11 +72,12 @@ def similar_classes(questions: DataFrame, percent: int = 80, q: int = 2) -> Data
         raise ValueError("a similarity in hundredths, over 0")
     stems = keyed(questions).groupBy("key").agg(F.min("id").alias("class_id"), F.min("stem").alias("stem"))
     sets = materialize(stems.select("class_id", gram_set(F.col("stem"), q).alias("grams")).where(F.size("grams") > 0), "gram_sets")
+    sets = materialize(coded(sets), "coded_sets")
     pairs = materialize(candidates(sets, percent), "pairs")
-    left, right = sets.select(F.col("class_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class_id").alias("b"), F.col("grams").alias("y"))
-    shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("both"))
-    united = F.col("both") - F.col("shared")
-    return shared.where(F.col("shared") * 100 >= united * percent).select("a", "b", "shared", united.alias("united"))
+    left, right = sets.select(F.col("class_id").alias("a"), F.col("codes").alias("x")), sets.select(F.col("class_id").alias("b"), F.col("codes").alias("y"))
+    whole = pairs.join(left, "a").join(right, "b")
+    counted = once(whole, shared=F.size(F.array_intersect("x", "y"))).select("a", "b", "shared", (F.size("x") + F.size("y") - F.col("shared")).alias("united"))
+    return counted.where(F.col("shared") * 100 >= F.col("united") * percent)
 
 
 def near_questions(questions: DataFrame, percent: int = 80, q: int = 2) -> DataFrame:

@@ -56,7 +56,7 @@ def test_common_grams_bring_few_pairs(spark):
         rows += [(n + i, rows[i][1] + "z") for i in range(0, n, 4)]
         frame = spark.createDataFrame(rows, "id long, stem string")
         sets = near_questions.keyed(frame).select(near_questions.F.col("id").alias("class_id"), near_questions.gram_set(near_questions.F.col("stem"), 4).alias("grams"))
-        counts.append(near_questions.candidates(sets, 80).count())
+        counts.append(near_questions.candidates(near_questions.coded(sets), 80).count())
         assert near_questions.similar_classes(frame, 80, 4).count() == n // 4
     assert counts[0] <= 2 * 100 and counts[1] <= 2 * 400
 
