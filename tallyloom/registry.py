@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyloom.plans import content, exchange, indexes, labels, learning, lists, parsers, streams
+from tallyloom.plans import content, exchange, indexes, labels, learning, lists, parsers, resuming, streams
 
-MODULES = (learning, content, labels, lists, parsers, streams, exchange, indexes)
+MODULES = (learning, content, labels, lists, parsers, resuming, streams, exchange, indexes)
 
 
 def queries() -> dict[str, Callable]:
