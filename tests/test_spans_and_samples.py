@@ -90,3 +90,18 @@ def test_samples_merge(spark):
     exam = sampling.by_quotas(frame, {"hot": 5, "g3": 2, "none": 3, "g1": 0}, "g", seed="s")
     assert {tuple(r) for r in exam.collect()} == {r for r in want if r[1] == "hot" or r[1] == "g3" and r[2] <= 2}
     assert sampling.by_quotas(frame, {}, "g").count() == 0
+
+
+def test_rows_within_a_stretch_are_counted_not_paired(spark):
+    """Equal places, keys that are null, ends that meet places, and ranges of few rows; no join has two sides of rows."""
+    rng = random.Random(5)
+    rows = [(rng.choice((None, 1, 2, 3)), rng.choice((None, *range(60)))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "who long, at long").repartition(5)
+    for keys in ((), ("who",)):
+        found = intervals.within(frame, "at", 7, keys)
+        want = {(w if keys else None, t): sum(1 for v, x in rows if x is not None and t <= x <= t + 7 and (not keys or v == w)) for w, t in rows if t is not None}
+        assert {(r["who"] if keys else None, r["at"]): r["inside"] for r in found.collect()} == want
+        assert found.count() == len(want)
+    assert intervals.within(frame.limit(0), "at", 7).collect() == []
+    dense = spark.range(20_000).select((F.col("id") % 10).alias("at"))  # 2e8 pairs if paired
+    assert {r["at"]: r["inside"] for r in intervals.within(dense, "at", 100).collect()} == {t: 20_000 - 2000 * t for t in range(10)}
