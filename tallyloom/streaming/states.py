@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +14,6 @@ OUTPUT = "question_id long, attempt_count long, correct_count long, wrong_count
 #: Attempts that tell the mastery: it is 1 plus the run of correct answers, at most 5.
 RECENT = 4
 BLOCKS = "question_id long, attempts long, correct long, first array<long>, recent array<long>"
-SESSIONS = "learner_id long, start timestamp, end timestamp, attempts long, correct long"
-SESSION_BLOCKS = "learner_id long, start_at timestamp, end_at timestamp, attempts long, correct long"
 HOUR = 3_600_000_000
 
 
@@ -130,78 +128,18 @@ def runs(times: list[tuple[int, int, int, int]], idle: int) -> list[tuple[int, i
     return out
 
 
-def session_blocks(idle: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For each batch of rows and learner its runs of attempts, which join other runs in any order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows[rows.learner_id.notna() & rows.created_at.notna()]
-            if not len(rows):
-                continue
-            rows = rows.sort_values(["learner_id", "created_at"])
-            gap = rows.created_at.diff() >= pd.Timedelta(microseconds=idle)
-            fresh = gap | (rows.learner_id != rows.learner_id.shift())
-            groups = rows.assign(run=fresh.cumsum()).groupby("run")
-            yield pd.DataFrame({"learner_id": groups.learner_id.first(), "start_at": groups.created_at.min(), "end_at": groups.created_at.max(), "attempts": groups.size(), "correct": groups.is_correct.sum()})
-
-    return run
-
-
-class IdleSessions(StatefulProcessor):
-    """Keeps the open sessions of a learner; a timer closes, puts out and forgets each once it was idle."""
-
-    def __init__(self, idle: int):
-        self.idle = idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "sessions array<long>")
-
-    def _read(self) -> list[tuple[int, int, int, int]]:
-        flat = list(self.open.get()[0]) if self.open.exists() else []
-        return [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]
-
-    def _keep(self, sessions: list[tuple[int, int, int, int]]) -> None:
-        """Stores the open sessions and sets one timer, for the first that can be idle."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if sessions:
-            self.open.update(([v for s in sessions for v in s],))
-            self.handle.registerTimer(self._due(min(s[1] for s in sessions)))
-        else:
-            self.open.clear()
-
-    def _due(self, end: int) -> int:
-        return -(-(end + self.idle) // 1000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        sessions = self._read()
-        micros = lambda c: c.astype("datetime64[us]").astype("int64").tolist()
-        for part in rows:
-            sessions = runs(sessions + list(zip(micros(part.start_at), micros(part.end_at), part.attempts.tolist(), part.correct.tolist(), strict=True)), self.idle)
-        self._keep(sessions)
-        return iter([])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now, sessions = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self._read()
-        done = [s for s in sessions if self._due(s[1]) <= now]
-        self._keep([s for s in sessions if self._due(s[1]) > now])
-        if done:
-            stamp = lambda v: pd.Timestamp(v, unit="us")
-            yield pd.DataFrame([[key[0], stamp(a), stamp(b), n, ok] for a, b, n, ok in done], columns=["learner_id", "start", "end", "attempts", "correct"])
-
-    def close(self) -> None:
-        pass
-
-
 def idle_sessions(attempts: DataFrame, idle_hours: int = 24, late: str = "2 hours") -> DataFrame:
     """Study sessions of each learner, put out once nothing was answered for `idle_hours`: then a session cannot go on and its state is dropped.
 
-    The clock is the watermark, `late` behind the newest attempt; runs of attempts that end before it are dropped.
+    The clock is the watermark, `late` behind the newest attempt; attempts of a learner and time whose session it has closed are dropped.
+    Spark's own session windows keep the state, so no key of a batch costs a call of Python.
     """
     with_state(attempts.sparkSession)
-    blocks = attempts.select("learner_id", "created_at", known()).mapInPandas(session_blocks(idle_hours * HOUR), SESSION_BLOCKS)
-    return blocks.withWatermark("end_at", late).groupBy("learner_id").transformWithStateInPandas(IdleSessions(idle_hours * HOUR), SESSIONS, "Append", "EventTime")
+    dated = attempts.where("learner_id IS NOT NULL AND created_at IS NOT NULL").select("learner_id", "created_at", known())
+    # windows that touch are one, and an attempt after exactly `idle_hours` starts a session
+    window = F.session_window(F.col("created_at"), f"{idle_hours * HOUR - 1} microseconds")
+    counted = dated.withWatermark("created_at", late).groupBy("learner_id", window).agg(F.max("created_at").alias("end"), F.count("*").alias("attempts"), F.count_if("is_correct").alias("correct"))
+    return counted.select("learner_id", F.col("session_window.start").alias("start"), "end", "attempts", "correct")
 
 
 def tag_counters(attempts: DataFrame, questions: DataFrame) -> DataFrame:

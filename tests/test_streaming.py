@@ -109,3 +109,17 @@ def test_idle_sessions_go_on_after_a_restart(spark, tmp_path):
     assert got == [(1, 0, 28, 3), (1, 60, 61, 2), (2, 1, 1, 2), (2, 40, 40, 1), (3, 70, 70, 1), (4, 3, 26.9, 2), (4, 51, 51, 1), (4, 75, 75, 1)]
     kept = progress["stateOperators"][0]["numRowsTotal"]
     assert kept <= 4  # of four closed learners nothing is left; learner 9 has a session and a timer, which has two entries
+
+
+def test_idle_sessions_end_at_the_microsecond(spark, tmp_path):
+    """A gap of exactly the idle time parts two sessions and one of a microsecond less does not; the state is Spark's own, without Python."""
+    day = pd.Timedelta(hours=24)
+    at, micro = pd.Timestamp("2024-01-01"), pd.Timedelta(microseconds=1)
+    rows = [(1, at, True), (1, at + day, None), (2, at, True), (2, at + day - micro, True), (2, at, False), (3, at + 10 * day, True)]
+    schema = "attempt_id long, learner_id long, created_at timestamp, is_correct boolean"
+    spark.createDataFrame([(k, n, t.to_pydatetime(), ok) for k, (n, t, ok) in enumerate(rows)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = states.idle_sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    plan = out._jdf.queryExecution().analyzed().toString()  # noqa: SLF001
+    assert "InPandas" not in plan
+    found = stream_to_rows(spark, out, "append", "closed_sessions", tmp_path / "c4").collect()
+    assert sorted((r.learner_id, pd.Timestamp(r.start) - at, pd.Timestamp(r.end) - at, r.attempts, r.correct) for r in found) == [(1, 0 * day, 0 * day, 1, 1), (1, day, day, 1, 0), (2, 0 * day, day - micro, 3, 2)]
