@@ -93,3 +93,15 @@ def test_unusable_options_and_audit(spark):
     assert value(spark, answers.unusable_template(options, {"B": "国", "C": "军"}))
     report = quality.audit(spark.createDataFrame([(1, "")], "id int, stem string"), {"no_stem": F.col("stem") == ""})
     assert report.first().failures == 1
+
+
+def test_norm_audit_is_the_two_patterns(spark):
+    """One pass over characters takes out what the two patterns take out, for every character of the basic plane and some above; and texts are read once."""
+    signs = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), 0x1F600, 0x20000, 0x1D400]]
+    texts = ["".join(signs[k : k + 97]) for k in range(0, len(signs), 97)] + ["", None, "a \\ b[c]", " A\tB\u3000C， d"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce("t", F.lit("")), text.SPACE, ""), text.SIGNS_AUDIT, ""))
+    assert frame.where(~text.norm_audit(F.col("t")).eqNullSafe(plain)).count() == 0
+    bank = frame.select(F.monotonically_increasing_id().alias("id"), F.col("t").alias("stem"), F.lit("a").alias("group_id")).withColumn("position", F.col("id"))
+    plan = quality.agreeing_dedup(bank, F.col("group_id"), F.length("stem"), columns=["id"])._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "md5" not in plan and "translate" not in plan
