@@ -61,6 +61,20 @@ def test_common_grams_bring_few_pairs(spark):
     assert counts[0] <= 2 * 100 and counts[1] <= 2 * 400
 
 
+def test_shared_grams_are_not_shuffled(spark):
+    """Texts of one small vocabulary share grams in every prefix; what is shuffled is that of texts and sketches, not a row for each gram that two texts share."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(100, 300)))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " z") for i in range(0, 150, 10)]
+    frame = spark.createDataFrame(rows, "id long, stem string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()  # noqa: E731, SLF001
+    before = shuffled()
+    found = near_questions.similar_classes(frame, 60, 5).collect()
+    assert sorted(tuple(sorted((r.a, r.b))) for r in found) == [(i, 1000 + i) for i in range(0, 150, 10)]
+    assert shuffled() - before < 4 * sum(len(text) for _, text in rows)
+
+
 def test_no_rows_and_bad_similarity(spark):
     empty = spark.createDataFrame([], "id long, stem string")
     assert near_questions.near_questions(empty).count() == 0
