@@ -45,6 +45,20 @@ def test_rows_scored_are_few(spark):
     assert listed(index.search(questions, "absent")) == [] and index.report["postings"] == 0
 
 
+def test_postings_are_one_a_gram_and_not_shuffled(spark):
+    """A row of the index names all fields with its gram; texts are dealt out before, so what is shuffled goes by the texts and not by their postings."""
+    rows = [(i, i, " ".join(f"{(i * 7919 + k * 104729) % 999983:06d}" for k in range(200)), ["ab", None], ["ab"], None, 0) for i in range(300)]
+    questions = spark.createDataFrame(rows, SCHEMA)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()  # noqa: E731, SLF001
+    before = shuffled()
+    index = search_index.build(questions)
+    assert shuffled() - before < 2 * sum(len(r[2]) for r in rows)
+    held = spark.read.parquet(f"{index.root}/postings/*").selectExpr("gram", "inline(rows)")
+    assert held.groupBy("gram", "id").count().where("count > 1").isEmpty()
+    assert {r.bits for r in held.where("gram = 'ab'").collect()} == {16 | 32}
+    assert listed(index.search(questions, "ab")) == listed(retrieval.search(questions, "ab"))
+
+
 @pytest.mark.parametrize(("word", "want"), [("ab", []), ("abc", ["abc"]), ("ababab", ["aba", "bab"])])
 def test_grams_of(word, want):
     assert search_index.grams_of(word) == want
