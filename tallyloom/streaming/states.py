@@ -54,14 +54,14 @@ def question_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(rows):
             continue
         rows = rows.sort_values(["created_at", "attempt_id"])
-        rows = rows.assign(place=_places(rows))
         groups = rows.groupby("question_id")
+        first, recent = groups.head(1), groups.tail(RECENT)  # only these become lists
         yield pd.DataFrame(
             {
                 "attempts": groups.size(),
                 "correct": groups.is_correct.sum(),
-                "first": groups.place.first(),
-                "recent": groups.tail(RECENT).groupby("question_id").place.agg(lambda x: [v for place in reversed(x.tolist()) for v in place]),
+                "first": _places(first).set_axis(first.question_id),
+                "recent": _places(recent).groupby(recent.question_id).agg(lambda x: [v for place in reversed(x.tolist()) for v in place]),
             }
         ).reset_index()
 

@@ -123,3 +123,12 @@ def test_idle_sessions_end_at_the_microsecond(spark, tmp_path):
     assert "InPandas" not in plan
     found = stream_to_rows(spark, out, "append", "closed_sessions", tmp_path / "c4").collect()
     assert sorted((r.learner_id, pd.Timestamp(r.start) - at, pd.Timestamp(r.end) - at, r.attempts, r.correct) for r in found) == [(1, 0 * day, 0 * day, 1, 1), (1, day, day, 1, 0), (2, 0 * day, day - micro, 3, 2)]
+
+
+def test_only_first_and_last_attempts_become_lists(monkeypatch):
+    made = []
+    plain = states._places  # noqa: SLF001
+    monkeypatch.setattr(states, "_places", lambda rows: made.append(len(rows)) or plain(rows))
+    rows = pd.DataFrame({"question_id": [k % 3 for k in range(900)], "attempt_id": range(900), "created_at": pd.to_datetime(range(900), unit="s"), "is_correct": True})
+    assert next(states.question_blocks(iter([rows]))).attempts.tolist() == [300] * 3
+    assert sum(made) <= 3 * (1 + states.RECENT)
