@@ -15,10 +15,20 @@ from tallyloom.functions import answers
 from tallyloom.functions.text import chinese_number, clean_stem, labelled_answer
 
 
+def line_breaks(text: str) -> Column:
+    """The text with one kind of line break."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def unquoted(raw: str) -> Column:
+    """The line without the quote mark of a block quote and blanks at its ends."""
+    return F.trim(F.regexp_replace(raw, "^>\\s?", ""))
+
+
 def lines_of(files: DataFrame, name: str = "file", text: str = "text") -> DataFrame:
     """(file, line_no, line): quote marks of block quotes are taken off."""
-    split = files.select(F.col(name).alias("file"), F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("line_no", "raw"))
-    return split.select("file", "line_no", F.trim(F.regexp_replace("raw", "^>\\s?", "")).alias("line"), "raw")
+    split = files.select(F.col(name).alias("file"), F.posexplode(F.split(line_breaks(text), "\n")).alias("line_no", "raw"))
+    return split.select("file", "line_no", unquoted("raw").alias("line"), "raw")
 
 
 def running(value: Column, order: str = "line_no", *within: str) -> Column:
