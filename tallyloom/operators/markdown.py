@@ -207,13 +207,14 @@ def word_problems(entries: DataFrame) -> DataFrame:
 
     An entry has two sub-questions; each has four different options of which one is marked.
     """
-    per = Window.partitionBy("file", "lesson", "entry")
-    rows = entries.withColumn("subs", F.count("*").over(per)).withColumn("label", F.when(F.row_number().over(per.orderBy("sub")) == 1, "A").otherwise("B"))
+    per = Window.partitionBy("file", "lesson", "entry").orderBy("sub")
+    rows = entries.select("*", F.count("*").over(per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("subs"), F.row_number().over(per).alias("nth"))
     texts = F.transform("options", lambda o: o["text"])
     reason = F.when(F.size("options") != 4, F.concat(F.lit("options="), F.size("options").cast("string"))).when(F.size(F.array_distinct(texts)) < F.size(texts), "equal options").when(F.coalesce("answer", F.lit("")) == "", "no answer")
-    whole = rows.where("subs <> 2").select("file", "lesson", "entry", F.lit(None).cast("string").alias("sub"), F.concat(F.lit("sub-questions="), F.col("subs").cast("string")).alias("reason")).distinct()
-    single = rows.where("subs = 2").select("file", "lesson", "entry", F.col("label").alias("sub"), reason.alias("reason")).where("reason IS NOT NULL")
-    return whole.unionByName(single)
+    two = F.col("subs") == 2
+    whole = F.when(F.col("nth") == 1, F.concat(F.lit("sub-questions="), F.col("subs").cast("string")))
+    label = F.when(two, F.when(F.col("nth") == 1, "A").otherwise("B"))
+    return rows.select("file", "lesson", "entry", label.alias("sub"), F.when(two, reason).otherwise(whole).alias("reason")).where("reason IS NOT NULL")
 
 
 def headings_of(report: DataFrame, lines: DataFrame) -> DataFrame:

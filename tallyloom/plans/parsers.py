@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.functions import alternatives, answers, prompts, text
 from tallyloom.operators import history, markdown, quality
-from tallyloom.plans.content import BLANK_SQL, FILE, FILE_SQL, KEYED_SQL, NORM_PARSER_SQL, NORM_SQL, markdown_files, options_of
+from tallyloom.plans.content import BLANK_SQL, FILE_SQL, KEYED_SQL, NORM_PARSER_SQL, NORM_SQL, markdown_files, options_of, parts_by_file
 from tallyloom.sources.tables import QUESTIONS_SQL, questions, table
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def files_of(spark, sf, section: str, block: str):
     """Files made of the parts of `FILE`: `section` is a header by part, `block` the text below; parts of a section stay together."""
-    part = table(spark, sf, "part").select(F.expr(FILE).alias("file"), F.expr(section).alias("section"), "p_partkey", F.expr(block).alias("block"))
+    part = parts_by_file(spark, sf).select("file", F.expr(section).alias("section"), "p_partkey", F.expr(block).alias("block"))
     texts = part.groupBy("file", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "block"))), lambda r: r["block"]), "\n").alias("text"))
     pieces = F.array_sort(F.collect_list(F.struct("section", "text")))
     return texts.groupBy("file").agg(F.concat(F.lit("# title\nbefore any section\n"), F.array_join(F.transform(pieces, lambda s: F.concat(s["section"], F.lit("\n\n"), s["text"])), "\n")).alias("text"))
