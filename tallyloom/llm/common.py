@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources.shared import checked_broadcast, materialize, shared_dir, table_bytes  # noqa: F401  used by the operators
+from tallyloom.sources.shared import BROADCAST_BYTES, checked_broadcast, materialize, shared_dir, shuffled, table_bytes  # noqa: F401  used by the operators
 
 #: White space of the word contract: words are maximal runs of other characters.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, small_batches
+from tallyloom.llm.common import checked_broadcast, materialize, shuffled, small_batches
 from tallyloom.llm.components import connected_components
 
 SHINGLE = 4
@@ -118,7 +118,7 @@ def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): the pairs that share a leaf, before they are verified."""
     homes, asked = leaves(nodes, bits, depth_for(nodes.count()))
     asked = asked.select(F.col("fp").alias("a"), F.col("node").alias("visited"), "same")
-    return asked.join(homes.select(F.col("fp").alias("b"), "node"), (F.col("visited") == F.col("node")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    return asked.join(shuffled(homes.select(F.col("fp").alias("b"), "node")), (F.col("visited") == F.col("node")) & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -131,11 +131,12 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`; component_id is the smallest doc_id reachable."""
     prints = materialize(fingerprints(docs), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(links(nodes, bits)).withColumnRenamed("node", "fp")
-    named = materialize(nodes.join(roots, "fp"), "linked")
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    roots = materialize(connected_components(links(nodes, bits)).withColumnRenamed("node", "fp"), "roots")
+    named = materialize(nodes.join(checked_broadcast(roots), "fp"), "linked")
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "components")
+    named = materialize(named.join(checked_broadcast(least), "root").select("fp", "component"), "named")
+    labels = materialize(nodes.join(checked_broadcast(named), "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "labels")
+    return prints.join(checked_broadcast(labels), "fp").select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

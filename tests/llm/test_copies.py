@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import components, decontaminate, line_dedup, simhash
+from tallyloom.llm import common, components, decontaminate, line_dedup, simhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -276,3 +276,27 @@ def test_flag_keeps_rows_and_clashing_columns(spark):
     assert sorted((r.doc_id or 0, r.overlap) for r in got.collect()) == [(0, 20), (1, 20), (1, 20), (2, 0), (3, 0)]
     assert all(r["items"] is None for r in decontaminate.flag(docs, bench.where("false")).collect())
     assert decontaminate.flag(docs.where("false"), bench).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_leaves_are_never_broadcast(spark):
+    nodes = common.materialize(spark.range(300).select(F.xxhash64("id").alias("fp")), "few-nodes")
+    plan = plan_of(simhash.candidates(nodes))  # the files are small, but each row has 15 leaves
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    small = nodes.where("fp % 2 = 0")
+    assert {tuple(r) for r in simhash.candidates(nodes).collect()} >= {tuple(r) for r in simhash.candidates(small).collect()}
+
+
+def test_components_beyond_the_bound_of_broadcasts(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 201)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    plans = []
+    kept = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: (plans.append(plan_of(df)), kept(df, name))[1])
+    monkeypatch.setattr(components, "BROADCAST_BYTES", 0)
+    got = {tuple(r) for r in components.connected_components(df).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 130)} | {(200, 200), (201, 200)}
+    assert not any("BroadcastHashJoin" in p for p in plans)

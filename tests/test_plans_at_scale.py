@@ -87,6 +87,17 @@ def test_broadcasts_are_bounded_in_bytes(spark):
     assert shared.table_bytes(few.where("false")) == 0
 
 
+def test_tables_over_the_bound_are_shuffled_however_small_their_files(spark):
+    # 3 MB in memory, a few KB in files: Spark by itself takes it for small enough
+    wide = shared.materialize(spark.range(3000).select("id", F.lit("x" * 1000).alias("text")), "wide")
+    some = spark.range(100_000)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for how in ("inner", "left", "left_anti"):
+        joined = some.join(shared.checked_broadcast(wide, 1 << 20), "id", how)
+        assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+    assert "BroadcastHashJoin" in plan(some.join(shared.checked_broadcast(wide), "id"))
+
+
 def test_guarded_import_restores(spark):
     said = []
 
