@@ -210,7 +210,7 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame,
     once = materialize(windows.drop("doc_id").dropDuplicates(["a", "b"]), "distinct-windows")
     hit = once.select("a", "b", F.explode(F.arrays_zip("at", "seeds")).alias("h")).select("a", "b", "h.at", F.col("h.seeds").alias("seed"))
     laid = hit.join(checked_broadcast(item_seeds), "seed").select("a", "b", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    pairs = laid.join(once.select("a", "b", "words"), ["a", "b"]).join(checked_broadcast(items), "item")
+    pairs = laid.join(checked_broadcast(once.select("a", "b", "words")), ["a", "b"]).join(checked_broadcast(items), "item")
     # the words that lie on each other
     start, n = F.greatest("shift", F.lit(0)), F.size("item_words")
     both = F.least(F.size("words"), F.col("shift") + n) - start

@@ -195,8 +195,9 @@ def near_copies(docs: DataFrame, lines: DataFrame, edits: int = EDITS, similarit
     texts = lines_of(docs).select("a", "b", "place", "line").join(wanted, ["a", "b", "place"]).dropDuplicates(["a", "b"])
     ranked = texts.orderBy("place").select("a", "b", F.monotonically_increasing_id().alias("rank"), F.split("line", BLANK_RUN).alias("w"))
     chosen = materialize(ranked, "line-words")  # written once, so ranks stay; they rise with the place
-    left = chosen.select("rank", "a", "b", F.col("w").alias("wa"))
-    right = chosen.select(F.col("rank").alias("least"), F.col("w").alias("wb"))
+    words = checked_broadcast(chosen)
+    left = words.select("rank", "a", "b", F.col("w").alias("wa"))
+    right = words.select(F.col("rank").alias("least"), F.col("w").alias("wb"))
     found = []
     for e in range(1, edits + 1):
         variants = materialize(_variants(chosen.where(F.size("w") >= min_words(e, similarity)), e), "line-variants")

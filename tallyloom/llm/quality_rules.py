@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import NOT_BLANK, let, materialize, words
+from tallyloom.llm.common import NOT_BLANK, let, materialize, shuffled, words
 
 BUCKETS = 1 << 16
 #: Pseudo-count of a bucket in the target; the raw multinomial gets the same share of its larger total,
@@ -58,7 +58,7 @@ def fit_ratios(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smoothi
     grams = docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("t"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("b"))
     counts = materialize(grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")), "ngram-counts")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
-    filled = every.join(counts, "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
+    filled = every.join(shuffled(counts), "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     # one row of fixed size: `buckets` pairs, whatever the corpus
     one = filled.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"), F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("c"))
     scaled = F.col("all_target") / F.col("all_raw")

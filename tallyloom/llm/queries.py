@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, decontaminate, hard_negatives, hash_index, language, licenses, line_dedup, pieces, quality_model, quality_rules, simhash, toxicity, vector_codes
-from tallyloom.llm.common import BLANK_RUN, checked_broadcast, table
+from tallyloom.llm.common import BLANK_RUN, BROADCAST_BYTES, checked_broadcast, table
 
 
 def with_trust(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, text, trusted) of `docs`: whether `labels` marks the document as of good quality."""
+    """(doc_id, text, trusted) of `docs`: whether `labels` marks the document as of good quality.
+
+    Ids are broadcast up to four times the usual bound, as the other side of a shuffled join is all texts.
+    """
     good = table(spark, sf_dir, "labels").where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.select("doc_id", "text").join(checked_broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("trusted"))
+    return docs.select("doc_id", "text").join(checked_broadcast(good, 4 * BROADCAST_BYTES), F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("trusted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import simhash
-from tallyloom.llm.common import checked_broadcast, materialize, small_batches
+from tallyloom.llm.common import checked_broadcast, materialize, shuffled, small_batches
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.features import Prefixes, mix, runs
 
@@ -117,7 +117,7 @@ def groups(docs: DataFrame, row: Column) -> DataFrame:
     same = sketches.join(checked_broadcast(several), "fp").select(F.col("least").alias("u"), F.col("node").alias("v"))
     near = materialize(simhash.links(prints.select("fp")).distinct(), "shingle-prints-linked")
     end = lambda e: prints.select(F.col("fp").alias(e), F.col("least").alias(f"{e}_node"))
-    near = near.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    near = checked_broadcast(near).join(end("u"), "u").join(shuffled(end("v")), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
     # shingle links of every node of a bucket to the bucket's least node
     members = sketches.select("node", F.explode("bands").alias("band")).distinct()
     buckets = materialize(members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least"), "shingle-buckets")

@@ -5,8 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import decontaminate, line_dedup, quality_rules, simhash
+from tallyloom.llm import components, decontaminate, line_dedup, quality_rules, queries, shingles, simhash
 from tallyloom.llm.queries import with_trust
+from tallyloom.sources import shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -98,3 +99,22 @@ def test_stages_drop_only_the_row_found(spark, sf_small):
     near = corpus_pipeline.simhash_stage(spark, docs, sf_small)
     assert read(near) == sorted([(1, copy), (None, clean), (7, other), (None, item), (None, "null copies")], key=str)
     assert read(corpus_pipeline.decontamination_stage(spark, docs, sf_small)) == sorted([r for r in rows if r[1] != item], key=str)
+
+
+def test_no_table_over_the_bound_is_broadcast(spark, sf_small, monkeypatch):
+    """With every table over the bound, stages broadcast nothing, however small Spark takes the files for."""
+    plans = []
+    whole, bounded = shared.materialize, shared.checked_broadcast
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return whole(df, name)
+
+    for module in (corpus_pipeline, components, decontaminate, line_dedup, quality_rules, queries, shingles, simhash):
+        for name, value in (("materialize", planned), ("checked_broadcast", lambda df, *_: bounded(df, -1)), ("BROADCAST_BYTES", -1)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+    docs = shared.materialize(spark.read.parquet(f"{sf_small}/documents.parquet").limit(60), "few")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        planned(stage(spark, docs, sf_small), name)
+    assert {name for name, plan in plans if "BroadcastHashJoin" in plan} == set() and sum("SortMergeJoin" in plan for _, plan in plans) > 10
