@@ -80,3 +80,21 @@ def test_no_rows_and_bad_similarity(spark):
     assert near_questions.near_questions(empty).count() == 0
     with pytest.raises(ValueError):
         near_questions.similar_classes(empty, 0)
+
+
+def test_a_sketch_goes_to_few_tiles_however_many_sketches(spark, monkeypatch):
+    """Tiles are cut by bytes, not by a number of rows, so small sketches meet in few tiles and large ones in small ones."""
+    rng = random.Random(5)
+    sketches = [(k + 1, 100 + k // 100, bytes(rng.randrange(256) for _ in range(64 if k < 15_000 else 256))) for k in range(20_000)]
+    placed = spark.createDataFrame([(k, *row) for k, row in enumerate(sketches)], "class_id long, place long, size int, bits binary")
+    seen = {}
+    kept = near_questions.materialize
+    monkeypatch.setattr(near_questions, "materialize", lambda df, name: seen.setdefault(name, kept(df, name)))
+    monkeypatch.setattr(near_questions, "TILES", 1)
+    near_questions.place_pairs(placed, 60)
+    assert seen["tile_pairs"].count() == 1  # all fit into one tile of TILE_BYTES
+    seen.clear()
+    monkeypatch.setattr(near_questions, "TILE_BYTES", 1 << 20)
+    near_questions.place_pairs(placed, 60)
+    sizes = [r[0] for r in seen["tiles"].groupBy("tile").agg(near_questions.F.sum("bytes")).collect()]
+    assert len(sizes) == 4 and max(sizes) <= (1 << 20) + 256 * (256 + near_questions.ROW_BYTES)
